@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.broken import parse_rates, parse_states
-from codeloom.sources.tables import table
+from codeloom.llm.docs import documented_functions, paired_nodes, without_templates
+from codeloom.llm.provenance import provenance, shared_rules
+from codeloom.sources.tables import current_rows, table
+
+TEMPLATE_REPEATS = 20  # a description that more functions share is a template
+SHARED_REPOS = 2
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +26,34 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(parse_states(table(spark, sf_dir, "source_files")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_states, p2_rates)}
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "name", "kind", "file_path", "line_start"])
+    live = nodes.filter(~F.coalesce("is_deleted", F.lit(False)))
+    return paired_nodes(live, documented_functions(table(spark, sf_dir, "source_files")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("id")
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented functions without those that share a template."""
+    return without_templates(_pairs(spark, sf_dir), TEMPLATE_REPEATS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = provenance(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "upstream_files"))
+    return found.filter("reason is not null").select("file_path")
+
+
+def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "upstream_files"))
+
+
+def p5_shared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_rules(table(spark, sf_dir, "source_files"), SHARED_REPOS)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_states, p2_rates, p4_found, p4_pairs, p5_found, p5_reasons, p5_shared_rules)}
 
 ORACLE: dict[str, str] = {}
