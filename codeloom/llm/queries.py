@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.broken import parse_rates, parse_states
 from codeloom.llm.docs import documented_functions, paired_nodes, without_templates
+from codeloom.llm.encode import token_counts, token_ids
+from codeloom.llm.langid import document_languages, fitted, language_segments, mislabelled, normal_label
+from codeloom.llm.mixing import mixture, reached_shares
 from codeloom.llm.provenance import provenance, shared_rules
 from codeloom.sources.tables import current_rows, table
 
@@ -54,6 +57,46 @@ def p5_shared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_rules(table(spark, sf_dir, "source_files"), SHARED_REPOS)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_states, p2_rates, p4_found, p4_pairs, p5_found, p5_reasons, p5_shared_rules)}
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"))
+
+
+def p7_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", normal_label(F.col("lang")).alias("language"), F.col("doc_kind").alias("topic"))
+    return mixture(token_counts(docs, ["doc_id", "source", "language", "topic"]), table(spark, sf_dir, "mix_weights"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reached_shares(p8_mixture(spark, sf_dir), table(spark, sf_dir, "mix_weights"))
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language_segments(documents, fitted(documents))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mislabelled(document_languages(_segments(spark, sf_dir)))
+
+
+def p9_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(_segments(spark, sf_dir))
+
+
+def p9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _segments(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p2_found, p2_states, p2_rates, p4_found, p4_pairs, p5_found, p5_reasons, p5_shared_rules,
+        p7_ids, p7_counts, p8_mixture, p8_shares, p9_found, p9_documents, p9_segments,
+    )
+}
 
 ORACLE: dict[str, str] = {}
