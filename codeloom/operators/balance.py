@@ -35,9 +35,9 @@ class LoadPlan:
     slots: Mapping[str, list[int]]
 
     def frame(self, spark: SparkSession, key_type: T.DataType) -> DataFrame:
-        schema = T.StructType([T.StructField("_heavy", T.StringType()), T.StructField("_slots", T.ArrayType(T.IntegerType()))])
+        schema = T.StructType([T.StructField("__heavy", T.StringType()), T.StructField("__slots", T.ArrayType(T.IntegerType()))])
         rows = [(k, v) for k, v in self.slots.items()]
-        return spark.createDataFrame(rows, schema).withColumn("_heavy", F.col("_heavy").cast(key_type))
+        return spark.createDataFrame(rows, schema).withColumn("__heavy", F.col("__heavy").cast(key_type))
 
 
 def shuffle_tasks(spark: SparkSession) -> int:
@@ -113,19 +113,18 @@ def balanced_totals(df: DataFrame, key: str, sums: Mapping[str, Column], plan: L
     kind = df.schema[key].dataType
     mine = F.spark_partition_id()
     heavy = F.broadcast(plan.frame(spark, kind))  # at most HEAVY_PER_TASK keys a task
-    placed = df.join(heavy, F.col(key) == F.col("_heavy"), "left").select(
-        F.col(key),
-        *[c.alias(f"_v{i}") for i, c in enumerate(sums.values())],
+    placed = df.select(F.col(key), *[c.alias(f"__v{i}") for i, c in enumerate(sums.values())]).join(heavy, F.col(key) == F.col("__heavy"), "left").select(
+        F.col(key), *[f"__v{i}" for i in range(len(sums))],
         F.when(F.col(key).isNull(), mine % plan.tasks)
-        .when(F.col("_slots").isNotNull(), F.element_at("_slots", (mine % F.greatest(F.size("_slots"), F.lit(1)) + 1).cast("int")))
-        .otherwise(F.lit(-1)).alias("_slot"),
+        .when(F.col("__slots").isNotNull(), F.element_at("__slots", (mine % F.greatest(F.size("__slots"), F.lit(1)) + 1).cast("int")))
+        .otherwise(F.lit(-1)).alias("__slot"),
     )
-    parts = placed.groupBy(key, "_slot").agg(
-        F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"_v{i}").alias(name) for i, name in enumerate(sums)],
-        F.max(F.col("_slot") >= 0).alias("_split"),
+    parts = placed.groupBy(key, "__slot").agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.sum(f"__v{i}").alias(name) for i, name in enumerate(sums)],
+        F.max(F.col("__slot") >= 0).alias("__split"),
     )
-    whole = parts.filter(~F.col("_split")).select(key, "n_rows", *sums)
-    merged = parts.filter("_split").groupBy(key).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in sums])
+    whole = parts.filter(~F.col("__split")).select(key, "n_rows", *sums)
+    merged = parts.filter(F.col("__split")).groupBy(key).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in sums])
     return whole.unionByName(merged)
 
 
@@ -137,26 +136,28 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, plan: LoadPlan, h
     they lie. A heavy key's rows are told apart by all their values; exact
     repeats share a shard. ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``,
     for which each row of ``left`` in exactly one shard is right. Null keys
-    match nothing and are spread evenly. Other columns must differ by name.
+    match nothing and are spread evenly. A column of ``right`` whose name
+    ``left`` has too, the key aside, comes back with ``_right`` appended.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a fragmented left side allows no {how} join")
     spark = left.sparkSession
+    right = right.select(*[F.col(c).alias(f"{c}_right") if c != key and c in left.columns else F.col(c) for c in right.columns])
     heavy = F.broadcast(plan.frame(spark, left.schema[key].dataType))
     # By the row's own values, so that a task that runs again sends each row where it went before.
     row = F.xxhash64(*[F.col(f.name) for f in left.schema.fields if not isinstance(f.dataType, T.MapType)], F.lit("shard"))
-    spread = F.pmod(row, F.greatest(F.size("_slots"), F.lit(1)).cast("bigint"))
-    a = left.join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn(
-        "_slot",
+    spread = F.pmod(row, F.greatest(F.size("__slots"), F.lit(1)).cast("bigint"))
+    a = left.join(heavy, F.col(key) == F.col("__heavy"), "left").withColumn(
+        "__slot",
         F.when(F.col(key).isNull(), F.pmod(row, F.lit(plan.tasks)))
-        .when(F.col("_slots").isNotNull(), F.element_at("_slots", (spread + 1).cast("int")))
+        .when(F.col("__slots").isNotNull(), F.element_at("__slots", (spread + 1).cast("int")))
         .otherwise(_own_task(F.col(key), plan.tasks)).cast("int"),
-    ).drop("_heavy", "_slots")
-    b = right.filter(F.col(key).isNotNull()).join(heavy, F.col(key) == F.col("_heavy"), "left").withColumn(
-        "_slot", F.explode(F.coalesce("_slots", F.array(_own_task(F.col(key), plan.tasks))))
-    ).drop("_heavy", "_slots")
-    a, b = (x.repartitionById(plan.tasks, F.col("_slot")) for x in (a, b))
-    return a.join(b.hint("merge"), ["_slot", key], how).drop("_slot")
+    ).drop("__heavy", "__slots")
+    b = right.filter(F.col(key).isNotNull()).join(heavy, F.col(key) == F.col("__heavy"), "left").withColumn(
+        "__slot", F.explode(F.coalesce("__slots", F.array(_own_task(F.col(key), plan.tasks))))
+    ).drop("__heavy", "__slots")
+    a, b = (x.repartitionById(plan.tasks, F.col("__slot")) for x in (a, b))
+    return a.join(b.hint("merge"), ["__slot", key], how).drop("__slot")
 
 
 def frequent_values(df: DataFrame, column: str, least_share: float, plan: LoadPlan) -> DataFrame:

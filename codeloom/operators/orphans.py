@@ -38,15 +38,13 @@ def orphan_references(references: DataFrame, parents: DataFrame, plan: LoadPlan)
     ``references`` has ``missing_id`` (the id referred to) and ``referred_at``
     beside any other columns, ``parents`` comes from `validity`. A null id is
     no reference. A null time of a reference is never before its parent. Every
-    reference row gives at most one row; repeats stay repeats.
+    reference row gives at most one row; repeats stay repeats. A column
+    ``reason`` that the references have is replaced.
     """
-    found = balanced_join(references.filter(F.col("missing_id").isNotNull()), parents.withColumn("_there", F.lit(True)), "missing_id", plan, "left")
-    reason = (
-        F.when(F.col("_there").isNull(), "missing")
-        .when(F.col("gone"), "deleted")
-        .when(F.col("known_since") > F.col("referred_at"), "late")
-    )
-    return found.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("_there", "gone", "known_since")
+    interval = parents.select("missing_id", F.lit(True).alias("__there"), F.col("gone").alias("__gone"), F.col("known_since").alias("__since"))
+    found = balanced_join(references.filter(F.col("missing_id").isNotNull()), interval, "missing_id", plan, "left")
+    reason = F.when(F.col("__there").isNull(), "missing").when(F.col("__gone"), "deleted").when(F.col("__since") > F.col("referred_at"), "late")
+    return found.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("__there", "__gone", "__since")
 
 
 def orphan_counts(orphans: DataFrame, references: DataFrame, group: str = "field_name", at: str = "referred_at") -> DataFrame:
