@@ -33,7 +33,7 @@ SPELLINGS = {
 _SPELLED = {w: k for k, v in SPELLINGS.items() for w in v.split()}
 
 SAMPLE_DOCUMENTS = 60  # labelled documents of each language that training sees
-BUCKETS, DIM, NGRAMS = 1 << 16, 16, (1, 2, 3, 4)
+BUCKETS, DIM, NGRAMS = 1 << 16, 16, (1, 3)
 LEAST_CONFIDENCE = 0.6
 
 
@@ -50,14 +50,17 @@ _FENCE = re.compile(r"(?:^|\n)[ \t]*(```+|~~~+)[^\n]*\n[\s\S]*?(?:\n[ \t]*\1[^\n
 _LINES = re.compile(r"\r\n|\n|\r|\u2028")
 _LOG = re.compile(r"^\s*(?:\[?\d{4}-\d\d-\d\d|\[?\d\d:\d\d:\d\d|(?:\[\s*)?(?:TRACE|DEBUG|INFO|WARN(?:ING)?|ERROR|FATAL)\b|at \S+\(|File \"|Traceback|[$>] \S+|\+\+\+ |--- |@@ )")
 _CODE = re.compile(r"^(?: {4,}|\t)(?!\s*(?:[-*+•>]|\d+[.)])\s)|[;{}]\s*$|^\s*(?:import|from|const|let|var|def|class|return|function|public|private|use|namespace|export|if|for|while|try|catch|else|switch|case)\b.*[({;:=]|=>|^\s*(?://|#include|<\?php|\$\w+\s*=)|^\s*</?\w+[^>]*>\s*$|^\s*\|.*\|\s*$")
+_CODE_HINT = re.compile(r"[;{}=<|$\t(:/#]| {4}")
 _HEAD = re.compile(r"^\s*(?:#{1,6}\s|=+\s*$|-+\s*$)")
 _BULLET = re.compile(r"^\s*(?:[-*+•>]\s+|\d+[.)]\s+)+")
 _INLINE = re.compile(r"`[^`]*`|https?://\S+|www\.\S+|\S+@\S+\.\w+|!?\[([^\]]*)\]\([^)]*\)|<[^>]{1,80}>")
+_INLINE_HINT = re.compile(r"[`@\[<]|http|www")
 _IDENT = re.compile(
-    r"(?<![A-Za-z0-9_$])(?:[A-Za-z$]*[a-z][A-Z][A-Za-z0-9_$]*|[A-Za-z0-9$]*_[A-Za-z0-9_$]*|[A-Za-z0-9_\-]+(?:(?:[/.:]|::|->)[A-Za-z0-9_\-]+)+|[A-Za-z]*[0-9][A-Za-z0-9]*)(?:\(\))?"
+    r"(?<![A-Za-z0-9_$])(?:[A-Za-z$]*[a-z][A-Z][A-Za-z0-9_$]*|[A-Za-z0-9$]*_[A-Za-z0-9_$]*|[A-Za-z0-9_\-]+(?:(?:[/.:]|::|->)[A-Za-z0-9_\-]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*)(?:\(\))?"
 )
 _SENTENCE = re.compile(r"[^.!?。！？…]*(?:[.!?…]+(?=[\s\"'»”)\]*_]|\Z)[\"'»”)\]*_]*|[。！？]+[」』）]*|[.!?…]|\Z)")
-_LETTER = re.compile(r"[^\W\d_]")
+_IDENT_HINT = re.compile(r"[a-z][A-Z]|_|[A-Za-z0-9][/.:>][A-Za-z0-9]|[A-Za-z][0-9]")
+_WORD = re.compile(r"[^\W\d_]{2,}")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 _TERMINAL = re.compile(r"[.!?。！？…][\"'»”)\]*_」』）]*\s*\Z")
 
@@ -78,23 +81,25 @@ def segments(text: str | None) -> list[Segment]:
     for m in [*_LINES.finditer(text), None]:
         end = m.start() if m else len(text)
         line, begin, at = text[at:end], at, m.end() if m else end
-        if not line.strip() or _LOG.search(line) or _CODE.search(line):
+        if not line.strip() or _LOG.search(line) or _CODE_HINT.search(line) and _CODE.search(line):
             continue
         head = bool(_HEAD.search(line))
-        body = _INLINE.sub(lambda x: f" {x[1]} " if x[1] else " ", _BULLET.sub("", line.lstrip("# ") if head else line))
+        body = _BULLET.sub("", line.lstrip("# ") if head else line)
+        if _INLINE_HINT.search(body):
+            body = _INLINE.sub(lambda x: f" {x[1]} " if x[1] else " ", body)
         pieces = _SENTENCE.findall(body)
         merged: list[str] = []
         for p in pieces:  # "e.g." and decimals don't end a sentence
-            if merged and p and not _TERMINAL.search(merged[-1] + " ") :
+            if merged and p and not _TERMINAL.search(merged[-1]):
                 merged[-1] += p
             elif p:
                 merged.append(p)
         for p in merged:
-            left = _IDENT.sub(" ", p)
-            letters, cjk = len(_LETTER.findall(left)), len(_CJK.findall(left))
-            if letters < 2:
+            left = _IDENT.sub(" ", p) if _IDENT_HINT.search(p) else p
+            words = len(_WORD.findall(left))
+            if not words:
                 continue
-            words = len(re.findall(r"[^\W\d_]{2,}", left))
+            cjk = 0 if left.isascii() else len(_CJK.findall(left))
             whole = not head and bool(_TERMINAL.search(p)) and (cjk >= 6 or words >= 3)
             out.append(Segment(begin, " ".join(left.split()), whole))
     return out
@@ -103,47 +108,40 @@ def segments(text: str | None) -> list[Segment]:
 # Features and model.
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed words and n-grams of all texts, one after the other, and where each text's begin.
-
-    Every text gives at least one feature.
-    """
-    joined = "".join(f"\x02{t.lower()}\x03" for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    starts = np.flatnonzero(codes == 2)
-    owner = np.cumsum(codes == 2) - 1
-    space = codes == 32
-    codes = np.where(codes <= 32, np.uint64(32), codes)
+def _orders(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and owning texts, ascending, for each n-gram length and for words."""
+    joined = "".join([f"\x02{t.lower()}\x03" for t in texts])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.cumsum(codes == 2, dtype=np.int32) - 1
+    codes = np.where(codes <= 32, np.uint32(32), codes)
+    gap = codes == 32
     with np.errstate(over="ignore"):
-        grams, owners = [], []
-        rolling = np.zeros(len(codes), np.uint64)
+        rolling = np.zeros(len(codes), np.uint32)
         for n in range(1, max(NGRAMS) + 1):
             k = len(codes) - n + 1
             if k <= 0:
                 break
-            rolling = rolling[:k] * np.uint64(0x9E3779B97F4A7C15) + (codes[n - 1:] + np.uint64(n)) * np.uint64(0xC2B2AE3D27D4EB4F)
+            rolling = rolling[:k] * np.uint32(0x9E3779B1) + (codes[n - 1:] + np.uint32(n)) * np.uint32(0x85EBCA77)
             if n in NGRAMS:
-                ok = owner[:k] == owner[n - 1:]
-                if n == 1:
-                    ok &= ~space & (codes != 32)
+                ok = ~gap if n == 1 else owner[:k] == owner[n - 1:]
                 h = rolling[ok]
-                grams.append(((h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) >> np.uint64(48)).astype(np.int64))
-                owners.append(owner[:k][ok])
+                yield ((h ^ (h >> np.uint32(15))) * np.uint32(0xC2B2AE3D)) >> np.uint32(16), owner[:k][ok]
         # Words: the sum of a word's mixed characters, taken from running sums.
-        mixed = (codes + np.uint64(7)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.arange(len(codes), dtype=np.uint64) * 0 + np.uint64(0x165667B19E3779F9)
-        gap = codes == 32
+        mixed = (codes + np.uint32(7)) * np.uint32(0x9E3779B1)
+        mixed = (mixed ^ (mixed >> np.uint32(13))) * np.uint32(0x165667B1)
         first = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
         last = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)))
-        h = sums[last] - sums[first] + codes[first] * np.uint64(31)
-        grams.append(((h ^ (h >> np.uint64(27))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(48)).astype(np.int64))
-        owners.append(owner[first])
-    all_owner, gram = np.concatenate(owners), np.concatenate(grams)
-    order = np.argsort(all_owner, kind="stable")
-    bounds = np.searchsorted(all_owner[order], np.arange(len(texts)))
-    return gram[order] % BUCKETS, bounds
+        sums = np.concatenate((np.zeros(1, np.uint32), np.cumsum(mixed, dtype=np.uint32)))
+        h = sums[last] - sums[first] + codes[first] * np.uint32(31)
+        yield ((h ^ (h >> np.uint32(14))) * np.uint32(0x27D4EB2F)) >> np.uint32(16), owner[first]
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and n-grams of all texts, one after the other, and where each text's begin."""
+    buckets, owners = zip(*_orders(texts))
+    owner, gram = np.concatenate(owners), np.concatenate(buckets).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    return gram[order] % BUCKETS, np.searchsorted(owner[order], np.arange(len(texts)))
 
 
 @dataclass
@@ -157,13 +155,18 @@ class Model:
         """Calibrated probabilities, and the share of each text's features that training met."""
         if not texts:
             return np.zeros((0, len(LANGUAGES))), np.zeros(0)
-        grams, bounds = features(texts)
-        counts = np.diff(np.append(bounds, len(grams)))
-        full = np.maximum(counts, 1)[:, None]
-        padded = np.append(grams, 0)
-        logits = np.add.reduceat(self.table[padded], bounds, axis=0) / full
-        logits[counts == 0] = 0
-        known = np.add.reduceat(self.seen[padded].astype(np.float64), bounds) / full[:, 0]
+        logits = np.zeros((len(texts), len(LANGUAGES)), np.float32)
+        counts, known = np.zeros(len(texts)), np.zeros(len(texts))
+        for gram, owner in _orders(texts):
+            if len(gram):
+                begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                whose = owner[begin]
+                gram = gram % BUCKETS
+                logits[whose] += np.add.reduceat(self.table[gram], begin, axis=0)
+                known[whose] += np.add.reduceat(self.seen[gram].astype(np.float32), begin)
+                counts[whose] += np.diff(np.append(begin, len(gram)))
+        full = np.maximum(counts, 1)
+        logits, known = logits / full[:, None], known / full
         z = (logits + self.bias) / self.temperature
         z -= z.max(axis=1, keepdims=True)
         e = np.exp(z)
