@@ -99,6 +99,17 @@ class Grammar:
             for x in (n.b if n.kind == "alt" else (n,)):
                 if x is not self.empty:
                     flat[id(x)] = x
+        # Choices that begin alike share their begin, so that nested texts keep few choices side by side.
+        heads: dict[int, list[Node]] = {}
+        for x in flat.values():
+            heads.setdefault(id(x.a if x.kind == "seq" else x), []).append(x)
+        if len(heads) < len(flat):
+            flat = {}
+            for own in heads.values():
+                x = own[0]
+                if len(own) > 1:
+                    x = self.seq(x.a if x.kind == "seq" else x, self.alt(*[y.b if y.kind == "seq" else self.eps for y in own]))
+                flat[id(x)] = x
         if not flat:
             return self.empty
         if len(flat) == 1:

@@ -46,7 +46,7 @@ def ecmascript(ts: bool) -> str:
         "While = 'while' '(' Expr ')' Stmt",
         "Do = 'do' Stmt 'while' '(' Expr ')' End?",
         "For = 'for' 'await'? '(' ForHead ')' Stmt",
-        "ForHead = VarKind Target ('of' Assign | 'in' Expr) | (VarDecl | Expr)? ';' Expr? ';' Expr? | Lhs ('of' Assign | 'in' Expr) | Pattern ('of' Assign | 'in' Expr)",
+        "ForHead = VarKind Target ('of' Assign | 'in' Expr) | (VarDecl | Expr)? ';' Expr? ';' Expr? | (Lhs | Array | Object) ('of' Assign | 'in' Expr)",
         "Jump = 'return' Expr? End | 'break' Ident? End | 'continue' Ident? End | 'throw' Expr End",
         "Try = 'try' Block (Catch Finally? | Finally)",
         "Catch = 'catch' ('(' Target ')')? Block",
@@ -60,7 +60,7 @@ def ecmascript(ts: bool) -> str:
         "ObjPattern = '{' (ObjPatItem (',' ObjPatItem)* (',' ObjPatRest?)? | ObjPatRest)? '}'",
         "ObjPatItem = Ident ('=' Assign)? | PropName ':' PatElem | ObjPatRest",
         "ObjPatRest = '...' PatTarget",
-        "PatTarget = Ident | Pattern | Lhs",
+        "PatTarget = Ident | Pattern",
         "PatElem = PatTarget ('=' Assign)?",
         "ArrPattern = '[' ','* ((PatElem | '...' PatTarget) (',' (PatElem | '...' PatTarget)?)*)? ']'",
         "Params = '(' (Param (',' Param)* ','?)? ')'",
@@ -68,14 +68,14 @@ def ecmascript(ts: bool) -> str:
         "FuncAnon = 'async'? 'function' '*'? TypeParams? Params Ret? Block",
         "FuncExpr = 'async'? 'function' '*'? Ident? TypeParams? Params Ret? Block",
         "ClassHead = 'class' Ident? TypeParams? ('extends' Heritage)? Implements? '{' Member* '}'",
-        "Heritage = Chain",
+        "Heritage = Chain" + (" TypeArgs?" if ts else ""),
         "Method = ('async'? '*'? | 'get' | 'set') MethodName Optional? TypeParams? Params Ret? Body",
         "MethodName = PropName | 'PRIV'",
         "Field = MethodName FieldMark? Annot? ('=' Assign)? End",
         "Args = '(' ((Assign | '...' Assign) (',' (Assign | '...' Assign))* ','?)? ')'",
         "Array = '[' ','* ((Assign | '...' Assign) (',' (Assign | '...' Assign)?)*)? ']'",
         "Object = '{' (ObjItem (',' ObjItem)* ','?)? '}'",
-        "ObjItem = Ident | PropName ':' Assign | ('async'? '*'? | 'get' | 'set') PropName TypeParams? Params Ret? Block | '...' Assign",
+        "ObjItem = Ident ('=' Assign)? | PropName ':' Assign | ('async'? '*'? | 'get' | 'set') PropName TypeParams? Params Ret? Block | '...' Assign",
         "Template = 'TPL' | 'TPLHEAD' Expr ('TPLMID' Expr)* 'TPLTAIL'",
         "Suffix = '.' (Word | 'PRIV') | '?.' (Word | 'PRIV' | '[' Expr ']' | Args) | '[' Expr ']' | Args | Template" + (" | 'BANG' | TypeArgs (Args | Template)" if ts else ""),
         "Member2 = '.' (Word | 'PRIV') | '[' Expr ']'",
@@ -143,7 +143,7 @@ def ecmascript(ts: bool) -> str:
             f"Post{v} = Chain{v} ('++' | '--')?",
             f"Unary{v} = Post{v} | UnOp+ Post",
             f"Lhs{v} = Ident{bang} | Base{v} Suffix* Member2{bang}",
-            f"Assign{v} = Unary{v} Rest | Lhs{v} AssignOp Assign | " + ("Pattern" if v == "" else "ArrPattern") + " '=' Assign | Arrow | Yield",
+            f"Assign{v} = Unary{v} Rest | Lhs{v} AssignOp Assign | " + ("(Array | Object)" if v == "" else "Array") + " '=' Assign | Arrow | Yield",
         ]
     return "\n".join(rules)
 
@@ -234,7 +234,7 @@ Id = 'ID' | 'enum' | 'self' | 'readonly'
 QName = Id | 'QNAME' | 'namespace' 'QNAME'
 Top = Stmt | Use | Namespace | ConstDecl | '__halt_compiler' '(' ')' ';'
 Namespace = 'namespace' QName End | 'namespace' QName? '{{' Top* '}}'
-Use = 'use' ('function' | 'const')? UseItem (',' UseItem)* End | 'use' ('function' | 'const')? 'QNAME' '{{' UseIn (',' UseIn)* ','? '}}' End | 'use' ('function' | 'const')? 'QNAME' '\\' '{{' UseIn (',' UseIn)* ','? '}}' End
+Use = 'use' ('function' | 'const')? UseItem (',' UseItem)* End | 'use' ('function' | 'const')? 'QNAME' '{{' UseIn (',' UseIn)* ','? '}}' End | 'use' ('function' | 'const')? QName '\\' '{{' UseIn (',' UseIn)* ','? '}}' End
 UseItem = QName ('as' Id)?
 UseIn = ('function' | 'const')? QName ('as' Id)?
 ConstDecl = 'const' Id '=' Expr (',' Id '=' Expr)* End

@@ -101,6 +101,8 @@ def _parse_es(text: str, lang: str) -> Failure:
             if r[2]:
                 braces.append(True)
         elif kind == "d":
+            if text.startswith("/*", at):
+                return "truncated", at
             t = m[kind]
         elif kind == "h":
             t = "PRIV"
@@ -113,6 +115,9 @@ def _parse_es(text: str, lang: str) -> Failure:
         after = state.d.get(t)
         if after is None:
             after = derive(state, t)
+        if t in ("++", "--") and _NEWLINE.search(text, end, at):  # never postfix on a new line
+            begun = derive(derive(state, "ASI"), t)
+            after = after if begun is empty else begun
         if after is empty and kind == "d":
             r = _ES_REGEX.match(text, at)
             if r:
@@ -135,7 +140,7 @@ _PY = re.compile(
     r"|(?P<f>(?:[fF][rR]?|[rR][fF])(?:'''|\"\"\"|'|\"))"
     r"|(?P<s>(?:[rR][bB]?|[bB][rR]?|[uU])?(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'(?!'')(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?!\"\")(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"))"
     r"|(?P<v>[^\W\d]\w*)"
-    r"|(?P<n>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[1-9](?:_?\d)*|0(?:_?0)*)(?!\.|\d|[eEjJ])|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)))"
+    r"|(?P<n>(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:(?:[1-9](?:_?\d)*|0(?:_?0)*)(?![.\d_eEjJ])|(?:\d(?:_?\d)*\.(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?|\d(?:_?\d)*(?:[eE][+-]?\d(?:_?\d)*[jJ]?|[jJ]))))"
     r"|(?P<k>\#[^\n\r]*)|(?P<l>\r\n|\n|\r)|(?P<j>\\(?:\r\n|\n|\r))"
     r"|(?P<p>\*\*=|//=|>>=|<<=|\.\.\.|:=|->|\*\*|//|<<|>>|<=|>=|==|!=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[()\[\]{}:;,.=+\-*/%@&|^~<>!])"
     r"|(?P<e>\Z)|(?P<x>[\s\S]))"
@@ -222,6 +227,9 @@ def _py_tokens(text: str):
                     continue
             if t in "([{":
                 depth += 1
+                if depth > 200:  # the language's own limit
+                    yield "ERR", at
+                    return
             elif t in ")]}":
                 depth = max(0, depth - 1)
             yield t, at
@@ -312,7 +320,7 @@ def _php_tokens(text: str):
             w = m[kind]
             yield ("QNAME" if "\\" in w else _PHP_WORDS.get(w.lower(), "ID")), at
         elif kind == "p":
-            yield m[kind], at
+            yield ("EARLY" if text.startswith("/*", at) else m[kind]), at
         elif kind in "sh":
             yield "STR", at
         elif kind == "n":
