@@ -44,7 +44,7 @@ def _weighted_pool(counted: DataFrame, weights: DataFrame) -> DataFrame:
     listed = weights.filter(F.col("source").isNotNull() & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)).groupBy("source").agg(
         F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")
     )
-    return counted.filter("n_tokens > 0").join(listed, "source")
+    return counted.select("doc_id", *_CELL, "n_tokens").filter("n_tokens > 0").join(listed, "source")
 
 
 def mixture(counted: DataFrame, weights: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ DENSE_LINE = 40  # tokens for each line: above, no hand broke the lines
 LITERAL = 0.9  # share of a file's characters that stand in literals: above, it is data
 INCOMPRESSIBLE = 0.6  # compressed size of the literals for each byte: above, they are no text
 PROSE = 0.6  # share of words among tokens: above, it is text and no program
+REPEATED_WORDS = 0.8  # share of words among tokens: above, it is repeated words and no code
 PLAIN_WORDS = 0.06  # share of words among tokens: below, there is nothing but data
 
 # Names of folders and files by common convention.
@@ -140,7 +141,7 @@ def content_reason(row) -> str | None:
         return "data"
     if n / max(1, row.n_lines) > DENSE_LINE and row.word_share < PROSE:
         return "minified"
-    if row.grammar_size / n < REUSED:
+    if row.grammar_size / n < REUSED and row.word_share < REPEATED_WORDS:
         return "generated"
     return None
 
