@@ -33,6 +33,7 @@ SPELLINGS = {
 _SPELLED = {w: k for k, v in SPELLINGS.items() for w in v.split()}
 
 SAMPLE_DOCUMENTS = 60  # labelled documents of each language that training sees
+LEAST_STEPS = 900  # of training, however small the sample
 BUCKETS, DIM, NGRAMS = 1 << 16, 16, (1, 3)
 LEAST_CONFIDENCE = 0.6
 STEADY = 0.85  # held-out agreement with the labels, some of which are wrong, of a model that needs no second try
@@ -59,7 +60,9 @@ _INLINE_HINT = re.compile(r"[`@\[<]|http|www")
 _IDENT = re.compile(
     r"(?<![A-Za-z0-9_$])(?:[A-Za-z$]*[a-z][A-Z][A-Za-z0-9_$]*|[A-Za-z0-9$]*_[A-Za-z0-9_$]*|[A-Za-z0-9_\-]+(?:(?:[/.:]|::|->)[A-Za-z0-9_\-]+)+|[A-Za-z]+[0-9][A-Za-z0-9]*)(?:\(\))?"
 )
-_END = re.compile(r"[.!?…]+[\"'»”)\]*_]*(?=\s|\Z)|[。！？]+[」』）]*")
+_END = re.compile(r"[.!?…]+[\"'»”)\]*_]*(?![\w/\\\-=(:,@.!?…])|[。！？]+[」』）]*")
+_ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
+_HIDDEN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f­​-‏‪-‮⁠-⁤﻿]")
 _IDENT_HINT = re.compile(r"[a-z][A-Z]|_|[A-Za-z0-9][/.:>][A-Za-z0-9]|[A-Za-z][0-9]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
@@ -76,6 +79,7 @@ def segments(text: str | None) -> list[Segment]:
     """The sentences of a text, and pieces that aren't whole ones, without code, logs and markup."""
     if not text:
         return []
+    text = _ESCAPES.sub(lambda m: " " * len(m[0]), text)
     text = _FENCE.sub(lambda m: "\n" + " " * (len(m[0]) - 2) + "\n" if len(m[0]) > 1 else m[0], text)
     out, at = [], 0
     for m in [*_LINES.finditer(text), None]:
@@ -90,7 +94,8 @@ def segments(text: str | None) -> list[Segment]:
         for end in [*_END.finditer(body), None]:
             p = body[last:end.end() if end else len(body)]
             last = end.end() if end else len(body)
-            left = _IDENT.sub(" ", p) if _IDENT_HINT.search(p) else p
+            left = _HIDDEN.sub("", p) if not p.isprintable() else p
+            left = _IDENT.sub(" ", left) if _IDENT_HINT.search(left) else left
             words = len(_WORD.findall(left))
             if not words:
                 continue
@@ -199,6 +204,7 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed:
     share = np.maximum(np.bincount(labels[fit], minlength=k), 1)
     balance = (len(fit) / (k * share)).clip(0.2, 5).astype(np.float32)
     size = 64
+    epochs = max(epochs, -(-LEAST_STEPS * size // max(1, len(fit))))
 
     def pooled(rows):
         n = counts[rows]

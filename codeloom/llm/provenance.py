@@ -26,7 +26,7 @@ REPEATED_WORDS = 0.8  # share of words among tokens: above, it is repeated words
 PLAIN_WORDS = 0.06  # share of words among tokens: below, there is nothing but data
 
 # Names of folders and files by common convention.
-VENDOR_FOLDERS = "vendor vendored vendors third_party third-party thirdparty 3rdparty external node_modules bower_components _deps site-packages jspm_packages Pods"
+VENDOR_FOLDERS = "vendor vendored vendors third_party third-party thirdparty 3rdparty 3rd-party extern external externals node_modules bower_components _deps deps site-packages jspm_packages Godeps Pods Carthage"
 GENERATED_FOLDERS = "generated __generated__ autogen gen _generated codegen"
 BUILT_FOLDERS = "dist bundle bundles"
 GENERATED_NAMES = r"(?:\.(?:gen|g|generated|pb|min\.gen)|_generated|_pb2|_pb2_grpc|\.designer)\.\w+$"
@@ -60,6 +60,7 @@ _LEX = {
     "python": re.compile(rf"#[^\n\r]*|[a-zA-Z]{{0,2}}(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|{_STR1})|[^\W\d]\w*|{_NUM}|{_OPS}"),
 }
 _FAMILY = {"javascript": "es", "typescript": "es", "php": "php", "python": "python"}
+_DIGITS = re.compile(r"\d+")  # numbered names are one name: programs count, hands don't
 _NEWLINES = re.compile(r"\r\n|\n|\r")
 _WORDLIKE = re.compile(r"[^\W\d_]*[^\W\d][\w$]*\Z|\$\w*\Z")
 
@@ -98,12 +99,13 @@ def measures(texts: list[str], families: list[str]) -> pd.DataFrame:
     flat, exact, owners, rows = [], [], [], []
     for i, (text, family) in enumerate(zip(texts, families)):
         tokens, _ = lex(text, family)
-        shape = ["\0N" if t[0].isdigit() or t[0] == "." and len(t) > 1 else "\0S" if t[-1] in "'\"`" and len(t) > 1 else t for t in tokens]
+        shape = ["\0N" if t[0].isdigit() or t[0] == "." and len(t) > 1 else "\0S" if t[-1] in "'\"`" and len(t) > 1 else t if len(t) == 1 or t.isalpha() else _DIGITS.sub("#", t) for t in tokens]
         literals = "".join(t for t, s in zip(tokens, shape) if s[0] == "\0")
         n_words = sum(1 for s in shape if s[0].isalpha() or s[0] in "_$")
         lines = sum(1 for x in _NEWLINES.split(text) if x.strip())
         size = sum(map(len, tokens))
-        packed = len(zlib.compress(literals.encode("utf-8", "surrogatepass"), 6)) / max(1, len(literals)) if len(literals) > 400 else 0.0
+        table = len(tokens) < LEAST_TOKENS and len(literals) > 200 and max((_rows(t) for t, c in zip(tokens, shape) if c == "\0S"), default=0)
+        packed = 1.0 if table else len(zlib.compress(literals.encode("utf-8", "surrogatepass"), 6)) / max(1, len(literals)) if len(literals) > 400 else 0.0
         rows.append((len(tokens), lines, len(literals) / max(1, size), packed, n_words / max(1, len(tokens)), size))
         for t in shape:
             flat.append(codes.setdefault(t, len(codes) + 1))
@@ -123,6 +125,19 @@ def measures(texts: list[str], families: list[str]) -> pd.DataFrame:
     return out
 
 
+def _rows(literal: str) -> bool:
+    """Whether a text is a table: most of at least eight lines have the same fields, at least three."""
+    lines = [x for x in _NEWLINES.split(literal)[1:-1] if x.strip()]
+    if len(lines) < 8:
+        return False
+    for mark in ",;\t|":
+        counts = sorted(x.count(mark) for x in lines)
+        middle = counts[len(counts) // 2]
+        if middle >= 2 and counts.count(middle) >= 0.8 * len(counts):
+            return True
+    return False
+
+
 def hash_text(tokens: list[str]) -> int:
     """A hash of the exact tokens, without comments and any white space, that in texts of several lines included."""
     import xxhash
