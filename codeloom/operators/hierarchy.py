@@ -62,14 +62,14 @@ def resolved_links(links: DataFrame, plan: LoadPlan) -> DataFrame:
     return balanced_join(nodes, there, "parent_id", plan, "left").select("id", "parent_id", "above")
 
 
-def _solved(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _solved(resolved: DataFrame, plan: LoadPlan) -> tuple[DataFrame, DataFrame]:
     """The walks of all non-roots to their splitters, and the splitters' walks to root or ring.
 
     Roots are the ends: a walk that ends at a root is complete.
     """
     below = resolved.filter(F.col("above").isNotNull())
     roots = resolved.filter(F.col("above").isNull()).select(F.col("id").alias("above"), F.lit(True).alias("_root"))
-    first = below.join(roots, "above", "left").select(
+    first = balanced_join(below, roots, "above", plan, "left").select(
         "id", F.col("above").alias("at"), F.array("above").alias("seg"),
         F.when(F.col("above") == F.col("id"), "ring").when(F.col("_root"), "end").when(_splitter("above"), "split").otherwise("open").alias("state"),
     )
@@ -84,7 +84,7 @@ def rings(links: DataFrame, plan: LoadPlan) -> DataFrame:
     A node that is its own parent is a circle; nodes that only hang below one
     are not on it. Ids compare by bytes.
     """
-    walks, reduced = _solved(resolved_links(links, plan))
+    walks, reduced = _solved(cut(resolved_links(links, plan)), plan)
     plain = walks.filter("state = 'ring'").select("id", F.array_min("seg").alias("cycle_id"))
     through = reduced.filter("state = 'ring'").select(F.explode("seg").alias("id"), F.array_min("seg").alias("cycle_id"))
     return plain.unionByName(through).distinct()
@@ -99,7 +99,7 @@ def hierarchy(links: DataFrame, plan: LoadPlan) -> DataFrame:
     ``parent_known``. Nodes on or below a circle have null root, depth and path.
     """
     resolved = cut(resolved_links(links, plan))
-    walks, reduced = _solved(resolved)
+    walks, reduced = _solved(resolved, plan)
     ahead = reduced.select(F.col("id").alias("at"), F.col("seg").alias("_seg"), F.col("state").alias("_state"))
     on = reduced.filter("state = 'ring'").select(F.explode("seg").alias("id"), F.lit(True).alias("_on")).distinct()
     whole = walks.join(ahead, "at", "left").join(on, "id", "left").select(

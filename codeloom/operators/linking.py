@@ -94,3 +94,44 @@ def longest_prefix(paths: DataFrame, prefixes: DataFrame) -> DataFrame:
     hits = cut.join(prefixes.select("dir").distinct(), "dir", "left_semi")
     best = hits.groupBy("file_path").agg(F.max_by("dir", F.length("dir")).alias("dir"))
     return paths.select("file_path").distinct().join(best, "file_path", "left")
+
+
+SUFFIXES = ("", ".ts", ".mts", ".js", ".mjs", "/index.ts", "/index.mts", "/index.js", "/index.mjs")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The file that an import means: ``file_path``, ``module``, ``resolved`` (null if none is known).
+
+    Relative imports (``./``, ``../``) of ``imports`` (``file_path``,
+    ``module``) try the path itself and then each of ``SUFFIXES`` against
+    ``files`` (``file_path``); dotted modules of Python files try
+    ``a/b.py`` and ``a/b/__init__.py`` below the importer's repository and below
+    its ``src``. The first known candidate wins.
+    """
+    asked = imports.select("file_path", "module").distinct()
+    folder = F.regexp_replace("file_path", "/[^/]*$", "")
+    ups = F.length(F.regexp_replace("module", r"^((?:\.\./)*).*$", "$1")) / 3
+    parts = F.split(folder, "/")
+    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - ups.cast("int"), F.lit(0))), "/")
+    rest = F.regexp_replace("module", r"^(?:\./|(?:\.\./)+)", "")
+    relative = F.array(*[F.concat(base, F.lit("/"), rest, F.lit(s)) for s in SUFFIXES])
+    dotted = F.replace("module", F.lit("."), F.lit("/"))
+    python = F.array(*[F.concat(parts[0], F.lit(mid), dotted, F.lit(end)) for mid in ("/", "/src/") for end in (".py", "/__init__.py")])
+    candidates = F.when(F.col("module").rlike(r"^\.\.?/"), relative).when(F.col("file_path").endswith(".py"), python)
+    each = asked.select("file_path", "module", F.posexplode(candidates).alias("n", "path"))
+    known = each.join(files.select(F.col("file_path").alias("path")).distinct(), "path", "left_semi")
+    best = known.groupBy("file_path", "module").agg(F.min_by("path", "n").alias("resolved"))
+    return asked.join(best, ["file_path", "module"], "left")
+
+
+def promoted_parents(placed: DataFrame, allowed: DataFrame) -> DataFrame:
+    """A filtered forest in which the children of dropped nodes move up: ``id``, ``parent_id``, ``depth``.
+
+    ``placed`` has ``id`` and ``path`` (ids from the root to the node), as
+    hierarchies give them; ``allowed`` has ``id``. The new parent is the nearest
+    allowed node above, the new depth the number of allowed ones.
+    """
+    kept = placed.filter("path is not null").join(allowed.select("id").distinct(), "id", "left_semi").select("id", F.posexplode("path").alias("n", "above"))
+    up = kept.filter("above <> id").join(allowed.select(F.col("id").alias("above")).distinct(), "above", "left_semi")
+    nearest = up.groupBy("id").agg(F.max_by("above", "n").alias("parent_id"), F.count(F.lit(1)).alias("depth"))
+    return kept.select("id").distinct().join(nearest, "id", "left").select("id", "parent_id", F.coalesce("depth", F.lit(0)).alias("depth"))

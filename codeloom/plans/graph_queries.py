@@ -522,3 +522,93 @@ def like_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.wiki_pages(_documented(spark, sf_dir))
+
+
+# Compositions.
+
+
+@query(f"""with {_N} select id, name, file_path from n where kind <> 'module' and parent_id is null
+and (lower(file_path) like '%main.%' or lower(file_path) like '%index.%' or lower(file_path) like '%server.%' or lower(file_path) like '%app.%')""")
+def entry_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-level nodes of files that are named like a program's entry."""
+    low, hit = F.lower("file_path"), F.lit(False)
+    for word in ("main.", "index.", "server.", "app."):
+        hit = hit | low.contains(word)
+    return graph_nodes(spark, sf_dir, ["name", "kind", "file_path", "parent_id"]).filter("kind <> 'module' and parent_id is null").filter(hit).select("id", "name", "file_path")
+
+
+@query(f"""with {_N}, g as (select coalesce(cast(community_id as varchar), 'area:' || case
+when regexp_matches(file_path, '/packages/extensions/[^/]+') then regexp_extract(file_path, '/packages/(extensions/[^/]+)', 1)
+when regexp_matches(file_path, '/packages/[^/]+') then regexp_extract(file_path, '/packages/([^/]+)', 1)
+when coalesce(domain, '') <> '' then domain when regexp_matches(file_path, '/src/[^/]+') then regexp_extract(file_path, '/src/([^/]+)', 1) else 'project' end) as grp from n)
+select grp, count(*) as n_nodes from g group by grp""")
+def visual_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of a drawing: the stored community, else an area guessed from path and domain."""
+    path, first = F.col("file_path"), lambda r: F.regexp_extract("file_path", r, 1)
+    area = (
+        F.when(path.rlike("/packages/extensions/[^/]+"), first("/packages/(extensions/[^/]+)")).when(path.rlike("/packages/[^/]+"), first("/packages/([^/]+)"))
+        .when(F.coalesce("domain", F.lit("")) != "", F.col("domain")).when(path.rlike("/src/[^/]+"), first("/src/([^/]+)")).otherwise("project")
+    )
+    nodes = graph_nodes(spark, sf_dir, ["file_path", "domain", "community_id"])
+    return nodes.groupBy(F.coalesce(F.col("community_id").cast("string"), F.concat(F.lit("area:"), area)).alias("grp")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query(f"""with recursive {_N}, p as (select l.id, l.file_path, m.id as above from live l left join live m on l.parent_id = m.id),
+ok as (select id from live where {_SCOPE}),
+t as (select id, case when id in (select id from ok) then id end as last_ok, cast(null as varchar) as parent_id, 0 as depth from p where above is null
+ union all select p.id, case when p.id in (select id from ok) then p.id else t.last_ok end, t.last_ok, t.depth + case when p.above in (select id from ok) then 1 else 0 end from p join t on p.above = t.id)
+select id, parent_id, depth from t where id in (select id from ok)""")
+def scoped_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The containment forest of the nodes in scope, with children of dropped nodes moved up."""
+    nodes = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "parent_id", "file_path"]).filter("not coalesce(is_deleted, false)")
+    plan = load_plans(table(spark, sf_dir, "nodes").select("parent_id"), ["parent_id"])["parent_id"]
+    return L.promoted_parents(hierarchy(nodes.select("id", "parent_id"), plan), nodes.filter(in_scope(F.col("file_path"), SCOPES, EXCLUDES)))
+
+
+def _import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imports(spark, sf_dir).select("file_path", "module")
+
+
+@query(f"""with {_FILES}, m as (
+select file_path, unnest(regexp_extract_all(source_text, '{_ES_IMPORT.replace(chr(39), chr(39) * 2)}', 1)) as module from cf where regexp_matches(file_path, '\\.(ts|mts|js|mjs)$')
+union all select file_path, unnest(list_concat(regexp_extract_all(source_text, '{_PY_IMPORT}', 1), regexp_extract_all(source_text, '{_PY_IMPORT}', 2))) from cf where file_path like '%.py'
+union all select file_path, unnest(regexp_extract_all(source_text, '{_PHP_IMPORT}', 1)) from cf where file_path like '%.php'),
+a as (select distinct file_path, module, string_split(regexp_replace(file_path, '/[^/]*$', ''), '/') as f, length(regexp_extract(module, '^((?:\\.\\./)*)', 1)) // 3 as ups from m where module <> ''),
+b as (select file_path, module, array_to_string(f[1:greatest(len(f) - ups, 0)], '/') || '/' || regexp_replace(module, '^(?:\\./|(?:\\.\\./)+)', '') as rel, f[1] as repo, replace(module, '.', '/') as dotted from a),
+c as (select file_path, module, s.i as n, rel || s.x as path from b, (select unnest({list(L.SUFFIXES)!r}) as x, unnest(range({len(L.SUFFIXES)})) as i) s where regexp_matches(module, '^\\.\\.?/')
+ union all select file_path, module, s.i, repo || s.a || dotted || s.z from b, (values (0, '/', '.py'), (1, '/', '/__init__.py'), (2, '/src/', '.py'), (3, '/src/', '/__init__.py')) s(i, a, z) where not regexp_matches(module, '^\\.\\.?/') and file_path like '%.py'),
+r as (select file_path, module, arg_min(path, n) as resolved from c where path in (select file_path from cf) group by all)
+select b.file_path, b.module, r.resolved from b left join r using (file_path, module)""")
+def import_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.resolve_imports(_import_rows(spark, sf_dir), table(spark, sf_dir, "source_files").select("file_path"))
+
+
+@query(f"""with {_N} select coalesce(try_cast(case when json_valid(metadata_json) then json_extract_string(metadata_json, '$.depth') end as int), -1) as depth,
+coalesce(length(case when json_valid(metadata_json) then json_extract_string(metadata_json, '$.doc') end), 0) > 0 as has_doc, count(*) as n_nodes from n group by all""")
+def metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schemaless column as typed ones; null, empty and cut-off JSON has none."""
+    meta = F.try_parse_json("metadata_json")
+    depth, doc = F.try_variant_get(meta, "$.depth", "int"), F.try_variant_get(meta, "$.doc", "string")
+    nodes = graph_nodes(spark, sf_dir, ["metadata_json"])
+    return nodes.groupBy(F.coalesce(depth, F.lit(-1)).alias("depth"), (F.coalesce(F.length(doc), F.lit(0)) > 0).alias("has_doc")).agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query()
+def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best hits of a search, each with the first 3,000 characters of its source."""
+    hits = bm25_search(spark, sf_dir).orderBy("rank", "node_id").limit(8)
+    nodes = graph_nodes(spark, sf_dir, ["name", "file_path", "line_start", "line_end"]).join(F.broadcast(hits.select(F.col("node_id").alias("id"), "rank")), "id")  # eight rows
+    files = current_rows(table(spark, sf_dir, "source_files").join(F.broadcast(nodes.select("file_path").distinct()), "file_path", "left_semi"), ["file_path"], ["source_text"], "loaded_at")
+    context = S.source_slice(nodes, files).select("id", F.substring("source", 1, 3000).alias("context"))
+    return nodes.select("id", "name", "rank").join(context, "id")
+
+
+@query(f"""with {_N}, g as (select id, count(*) as d from (select source as id from e where type <> 'contains' union all select target from e where type <> 'contains') group by id),
+r as (select n.repo_hash, n.id, d, row_number() over (partition by n.repo_hash order by d desc, n.id) as k from n join g on n.id = g.id where n.repo_hash is not null and kind not in ('event', 'module'))
+select repo_hash, id, d as degree from r where k = 1""")
+def busiest_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each repository the node with the most edges, ``contains`` aside."""
+    d = A.degrees(graph_edges(spark, sf_dir, []).filter("type <> 'contains'")).select("id", "degree")
+    nodes = graph_nodes(spark, sf_dir, ["repo_hash", "kind"]).filter("repo_hash is not null and kind not in ('event', 'module')").join(d, "id")
+    best = nodes.groupBy("repo_hash").agg(F.max("degree").alias("degree"), F.min_by("id", F.struct(-F.col("degree"), "id")).alias("id"))
+    return best.select("repo_hash", "id", "degree")
