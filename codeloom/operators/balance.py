@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HEAVY_PER_TASK = 4
-MERGERS = 16
+MERGERS = 64
 
 
 @dataclass(frozen=True)
@@ -90,7 +90,7 @@ def load_plans(df: DataFrame, columns: Sequence[str], tasks: int | None = None)
     """A plan for each column. A key is heavy from ``1 / (HEAVY_PER_TASK * tasks)`` of all rows."""
     tasks = tasks or shuffle_tasks(df.sparkSession)
     total = df.count()
-    tracked = max(1024, 16 * HEAVY_PER_TASK * tasks)
+    tracked = max(1024, 4 * HEAVY_PER_TASK * tasks)  # a sketch errs by at most 3.5 / tracked of all rows, less than a heavy key has
     found = estimated_loads(df, columns, min(tracked, 1_000_000)) if total else {c: [] for c in columns}
     least = max(2, total / (HEAVY_PER_TASK * tasks))
     return {c: LoadPlan(tasks, pack({k: n for k, n in found[c] if n >= least}, total, tasks)) for c in columns}

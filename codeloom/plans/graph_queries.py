@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.extensions import Registry
 from codeloom.functions.globs import glob_regex, in_scope
 from codeloom.functions.kinds import CLASSES, kind_class
 from codeloom.operators import analytics as A
@@ -465,7 +466,8 @@ def source_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.source_slice(nodes, files).select("id", F.md5(F.col("source").cast("binary")).alias("source_md5"))
 
 
-_ES_IMPORT, _PY_IMPORT, _PHP_IMPORT = r"(?m)^import\s+(?:[^'\";]*?\sfrom\s+)?['\"]([^'\"]+)['\"]", r"(?m)^[ \t]*(?:from[ \t]+([\w.]+)[ \t]+import\b|import[ \t]+([\w.]+))", r"(?m)^use\s+(?:function\s+|const\s+)?([\w\\]+)"
+REGISTRY = Registry()
+_ES_IMPORT, _PY_IMPORT, _PHP_IMPORT = (REGISTRY.import_patterns()[x] for x in ("ts", "py", "php"))
 
 
 @query(f"""with {_FILES}, m as (
@@ -475,15 +477,27 @@ union all select file_path, unnest(regexp_extract_all(source_text, '{_PHP_IMPORT
 select file_path, module, count(*) as n_imports from m where module <> '' group by all""")
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modules that the current texts import, read where the texts lie."""
-    rows, text = table(spark, sf_dir, "source_files"), F.coalesce("source_text", F.lit(""))
-    take = lambda regex, *groups: F.concat(*[F.regexp_extract_all(text, F.lit(regex), F.lit(g)) for g in groups])
-    ext = F.regexp_extract("file_path", r"\.(\w+)$", 1)
-    found = F.when(ext.isin("ts", "mts", "js", "mjs"), take(_ES_IMPORT, 1)).when(ext == "py", take(_PY_IMPORT, 1, 2)).when(ext == "php", take(_PHP_IMPORT, 1))
+    rows = table(spark, sf_dir, "source_files")
+    found = REGISTRY.imported_modules(F.col("file_path"), F.col("source_text"))
     newest = current_rows(rows.select("file_path", "loaded_at", found.alias("modules")), ["file_path"], ["modules"], "loaded_at")
-    each = newest.select("file_path", F.explode("modules").alias("module")).filter("module <> ''")
+    each = newest.select("file_path", F.explode("modules").alias("module"))
     return each.groupBy("file_path", "module").agg(F.count(F.lit(1)).alias("n_imports"))
 
 
+_FIRE, _LISTEN = r"\bdo_action\s*\(\s*['\"]([^'\"]+)['\"]", r"\badd_action\s*\(\s*['\"]([^'\"]+)['\"](?:\s*,\s*['\"]([^'\"]+)['\"](?:\s*,\s*(\d+))?(?:\s*,\s*(\d+))?)?"
+_q = lambda regex: regex.replace("'", "''")
+
+
+@query(f"""with {_FILES}, f as (select file_path, 'fire' as direction, unnest(regexp_extract_all(source_text, '{_q(_FIRE)}', 1)) as event, '' as callback from cf where file_path like '%.php'),
+l as (select file_path, 'listen' as direction, unnest(regexp_extract_all(source_text, '{_q(_LISTEN)}', 1)) as event, unnest(regexp_extract_all(source_text, '{_q(_LISTEN)}', 2)) as callback from cf where file_path like '%.php')
+select file_path, direction, event, callback, count(*) as n_calls from (select * from f union all select * from l) group by all""")
+def event_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls in current PHP texts that fire or hear a named event."""
+    rows = table(spark, sf_dir, "source_files").filter(F.col("file_path").endswith(".php"))
+    newest = current_rows(rows.select("file_path", "loaded_at", REGISTRY.event_calls(F.col("source_text")).alias("calls")), ["file_path"], ["calls"], "loaded_at")
+    return newest.select("file_path", F.inline("calls")).groupBy("file_path", "direction", "event", "callback").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
 # Search.
 
 _FIELDS = ["name", "file_path", "domain", "summary", "doc"]
