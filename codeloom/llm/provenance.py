@@ -163,13 +163,24 @@ def content_reason(row) -> str | None:
 
 _MEASURED = "n_tokens bigint, grammar_size bigint, n_rules bigint, reason string, start_hash bigint, text_hash bigint, long_rules array<bigint>"
 _KEPT = ["n_tokens", "grammar_size", "n_rules", "reason", "start_hash", "text_hash"]
-_CHUNK = 1500  # texts whose grammars are built together: enough for numpy, small in memory
+_CHUNK, _CHUNK_CHARS = 1500, 4_000_000  # texts, and about their characters, whose grammars are built together
+
+
+def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    begin = size = 0
+    for i, n in enumerate(sizes):
+        if i > begin and (i - begin >= _CHUNK or size + n > _CHUNK_CHARS):
+            yield begin, i
+            begin, size = i, 0
+        size += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for begin in range(0, len(batch), _CHUNK):
-            part = batch.iloc[begin:begin + _CHUNK].reset_index(drop=True)
+        for begin, end in _chunks([len(t) if isinstance(t, str) else 0 for t in batch.source_text]):
+            part = batch.iloc[begin:end].reset_index(drop=True)
             texts = [t if isinstance(t, str) else "" for t in part.pop("source_text")]
             paths = [p if isinstance(p, str) else "" for p in part["file_path"]]
             langs = [language_of(p) or _lang(x) for p, x in zip(paths, part.pop("lang_id"))]

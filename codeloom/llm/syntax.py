@@ -395,7 +395,7 @@ def failure(text: str | None, lang: str | None) -> Failure:
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
-                ast.parse(text)
+                ast.parse(text, feature_version=(3, 12))
             return None
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return found

@@ -179,3 +179,10 @@ def test_provenance(spark):
     shared = {r["file_path"]: r["whole_shared"] for r in shared_rules(files(spark, [("a/x.js", "a", HAND, AT), ("b/x.js", "b", HAND, AT), ("b/y.js", "b", TABLE, AT)]), 2).collect()}
     assert shared == {"a/x.js": True, "b/x.js": True, "b/y.js": False}
     assert Counter(r["n_tokens"] for r in measured_files(files(spark, [("q", None, "a b", AT)])).collect()) == {2: 1}
+
+
+def test_chunks_hold_every_row_once(monkeypatch, spark):
+    from codeloom.llm import provenance as P
+
+    monkeypatch.setattr(P, "_CHUNK_CHARS", 10)
+    assert list(P._chunks([4, 4, 4, 100, 0, 0])) == [(0, 2), (2, 3), (3, 4), (4, 6)] and list(P._chunks([])) == []
