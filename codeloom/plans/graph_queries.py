@@ -533,7 +533,11 @@ def like_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.like_search(_documented(spark, sf_dir), "lattice", ["name", "file_path", "doc"])
 
 
-@query()
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\r\n?', chr(10), 'g'), '^\s*/\*+|\*+/\s*$', '', 'g'), '(?m)^[ \t]*(?:\*+|#+|//+)[ \t]?', '', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(f"""with {_N}, {_DOCS}, c as (select id as path, name as title, trim({_CLEAN}) as doc from d where kind not in ('module', 'export_statement', 'event'))
+select path, title, trim(string_split(doc, chr(10))[1]) as summary, '# ' || coalesce(title, '') || chr(10) || chr(10) || doc as content from c where doc <> ''""")
 def wiki_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.wiki_pages(_documented(spark, sf_dir))
 
