@@ -74,19 +74,32 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every reference of a current row: ``field_name``, ``row_key``, ``missing_id``, ``referred_at``."""
+    """Every reference of a current row: ``field_name``, ``missing_id``, ``other``, ``type``, ``referred_at``.
+
+    The id referred to is the key of the join and, for edges, half of the row's
+    key, so it is moved once; `_with_row_keys` puts the key together.
+    """
     edges = table(spark, sf_dir, "edges").groupBy("source", "target", "type").agg(F.max("indexed_at").alias("referred_at"))
     ends = F.explode(F.array(
-        F.struct(F.lit("edges.source").alias("field_name"), F.col("source").alias("missing_id")),
-        F.struct(F.lit("edges.target").alias("field_name"), F.col("target").alias("missing_id")),
+        F.struct(F.lit("edges.source").alias("field_name"), F.col("source").alias("missing_id"), F.col("target").alias("other")),
+        F.struct(F.lit("edges.target").alias("field_name"), F.col("target").alias("missing_id"), F.col("source").alias("other")),
     ))
-    key = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "target", "type")])
-    of_edges = edges.select(key.alias("row_key"), "referred_at", ends.alias("_r")).select("_r.field_name", "row_key", "_r.missing_id", "referred_at")
+    of_edges = edges.select("type", "referred_at", ends.alias("_r")).select("_r.field_name", "_r.missing_id", "_r.other", "type", "referred_at")
     nodes = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "parent_id"]).filter(~F.coalesce("is_deleted", F.lit(False)))
-    of_nodes = nodes.select(F.lit("nodes.parent_id").alias("field_name"), F.col("id").alias("row_key"), F.col("parent_id").alias("missing_id"), F.col("indexed_at").alias("referred_at"))
+    of_nodes = nodes.select(
+        F.lit("nodes.parent_id").alias("field_name"), F.col("parent_id").alias("missing_id"), F.col("id").alias("other"), F.lit(None).cast("string").alias("type"), F.col("indexed_at").alias("referred_at")
+    )
     return of_edges.unionByName(of_nodes).filter(F.col("missing_id").isNotNull())
 
 
+def _with_row_keys(orphans: DataFrame) -> DataFrame:
+    def key(*names: str):
+        return F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in names])
+
+    row = F.when(F.col("field_name") == "edges.source", key("missing_id", "other", "type")).when(F.col("field_name") == "edges.target", key("other", "missing_id", "type")).otherwise(F.col("other"))
+    return orphans.select("field_name", row.alias("row_key"), "missing_id", "reason")
+
+
 def _orphans(spark: SparkSession, sf_dir: str, references: DataFrame) -> DataFrame:
     columns = ["id", "indexed_at", "is_deleted"]
     parents = table(spark, sf_dir, "nodes").select(*columns).unionByName(table(spark, sf_dir, "shared_nodes").select(*columns))
@@ -96,11 +109,11 @@ def _orphans(spark: SparkSession, sf_dir: str, references: DataFrame) -> DataFra
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphans(spark, sf_dir, _references(spark, sf_dir)).select("field_name", "row_key", "missing_id", "reason")
+    return _with_row_keys(_orphans(spark, sf_dir, _references(spark, sf_dir)))
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    references = _references(spark, sf_dir)
+    references = _references(spark, sf_dir).select("field_name", "missing_id", "referred_at")
     return orphan_counts(_orphans(spark, sf_dir, references), references)
 
 
