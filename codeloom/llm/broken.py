@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.sources import current_results
+from codeloom.llm.sources import current_results, spread
 
 _FOUND = "file_path string, repo_hash string, loaded_at timestamp_ntz, language string, problem string, at_offset bigint, at_line bigint"
 
@@ -39,7 +39,7 @@ def parse_states(source_files: DataFrame) -> DataFrame:
     alone parse.
     """
     rows = source_files.select("file_path", "repo_hash", "loaded_at", "source_text")
-    examined = rows.mapInPandas(_examine, _FOUND)
+    examined = spread(rows, "file_path").mapInPandas(_examine, _FOUND)
     return current_results(examined, ["repo_hash", "language", "problem", "at_offset", "at_line"])
 
 

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from codeloom.llm.sources import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern by which this vocabulary splits text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -162,7 +164,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", voc
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), lists], names=[key, "ids"])
 
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(documents.select(key, text), key).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -179,4 +181,4 @@ def token_counts(documents: DataFrame, keep: Sequence[str] = ("doc_id",), text:
                 kept = [batch.column(i).slice(begin, end - begin) for i in range(last)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64())], names=[*keep, "n_tokens"])
 
-    return documents.select(*keep, text).mapInArrow(run, f"{kinds}, n_tokens bigint")
+    return spread(documents.select(*keep, text), keep[0]).mapInArrow(run, f"{kinds}, n_tokens bigint")

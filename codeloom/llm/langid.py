@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.sources import spread
+
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "ru", "ja")
 # ISO codes of three letters and names of the languages.
 SPELLINGS = {
@@ -174,7 +176,13 @@ class Model:
 
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 3.0, seed: int = 7) -> Model:
-    """The better of up to three models by held-out sentences: the learning rate is halved while training goes astray."""
+    """Trains on the sentences whose labels stand up to a model that didn't see them.
+
+    Of up to three models the best by held-out sentences counts: the learning
+    rate is halved while training goes astray.
+    """
+    kept = _believed(texts, labels, epochs, rate, seed)
+    texts, labels = [texts[i] for i in kept], labels[kept]
     best, score = None, -1.0
     for _ in range(3):
         model, right = _train(texts, labels, epochs, rate, seed)
@@ -186,7 +194,27 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 8, rate: float = 3
     return best
 
 
-def _train(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[Model, float]:
+def _believed(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed: int) -> np.ndarray:
+    """Places of the sentences that a model of the other half doesn't firmly give another language.
+
+    A label counts as wrong only where the other half knows its language well.
+    """
+    half = np.random.default_rng(seed).random(len(texts)) < 0.5
+    keep = np.ones(len(texts), bool)
+    for mine in (half, ~half):
+        theirs = np.flatnonzero(~mine)
+        own = np.flatnonzero(mine)
+        if len(own) < 100 or not len(theirs):
+            continue
+        model, _ = _train([texts[i] for i in own], labels[own], epochs // 2, rate, seed, LEAST_STEPS // 2)
+        p, _ = model.probabilities([texts[i] for i in theirs])
+        well = np.bincount(labels[own], minlength=len(LANGUAGES)) >= 20
+        wrong = (p.argmax(axis=1) != labels[theirs]) & (p.max(axis=1) >= 0.7) & well[labels[theirs]]
+        keep[theirs[wrong]] = False
+    return np.flatnonzero(keep)
+
+
+def _train(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed: int, least_steps: int = LEAST_STEPS) -> tuple[Model, float]:
     """Fits embeddings and softmax by SGD on seven eighths of the sentences and the temperature on the rest.
 
     Labels may be wrong here and there: after half the epochs sentences that the
@@ -204,7 +232,7 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed:
     share = np.maximum(np.bincount(labels[fit], minlength=k), 1)
     balance = (len(fit) / (k * share)).clip(0.2, 5).astype(np.float32)
     size = 64
-    epochs = max(epochs, -(-LEAST_STEPS * size // max(1, len(fit))))
+    epochs = max(epochs, -(-least_steps * size // max(1, len(fit))))
 
     def pooled(rows):
         n = counts[rows]
@@ -335,7 +363,7 @@ def language_segments(documents: DataFrame, model: Model | None) -> DataFrame:
             frame = pd.DataFrame(out, columns=["doc_id", "label", "at_offset", "lang", "confidence", "whole", "n_chars"])
             yield frame.astype({"at_offset": "int32", "n_chars": "int32"})
 
-    return documents.select("doc_id", "text", normal_label(F.col("lang")).alias("label")).mapInPandas(examine, schema)
+    return spread(documents.select("doc_id", "text", normal_label(F.col("lang")).alias("label")), "doc_id").mapInPandas(examine, schema)
 
 
 def document_languages(found: DataFrame) -> DataFrame:

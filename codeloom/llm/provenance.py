@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.repair import Grammars
-from codeloom.llm.sources import current_results
+from codeloom.llm.sources import current_results, spread
 from codeloom.llm.syntax import language_of
 
 # Thresholds, all on measures of one file.
@@ -202,7 +202,7 @@ def measured_files(source_files: DataFrame, long_rules: bool = False) -> DataFra
     of long rules.
     """
     rows = source_files.select("file_path", "repo_hash", "loaded_at", "lang_id", "source_text")
-    found = rows.mapInPandas(_measure, f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
+    found = spread(rows, "file_path").mapInPandas(_measure, f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
     return current_results(found, ["repo_hash", *_KEPT, *(["long_rules"] if long_rules else [])])
 
 

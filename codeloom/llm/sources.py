@@ -17,3 +17,13 @@ def current_results(rows: DataFrame, columns: list[str], key: str = "file_path",
     best = F.max(F.struct(F.col(at), *[F.col(c) for c in columns])).alias("_kept")
     kept = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(best)
     return kept.select(key, *[F.col("_kept")[c].alias(c) for c in columns])
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """At least one partition for each core, by hash of ``key``, where a table is read as fewer.
+
+    Examining a text takes far longer than moving it, so a single small file
+    shouldn't keep one core busy. Larger tables stay as they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
