@@ -64,7 +64,7 @@ _IDENT = re.compile(
 )
 _END = re.compile(r"[.!?…]+[\"'»”)\]*_]*(?![\w/\\\-=(:,@.!?…])|[。！？]+[」』）]*")
 _ESCAPES = re.compile(r"\x1b\[[0-9;]*[A-Za-z]")
-_HIDDEN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f­​-‏‪-‮⁠-⁤﻿]")
+_HIDDEN = re.compile(r"[\x00-\x08\x0e-\x1f\x7f\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
 _IDENT_HINT = re.compile(r"[a-z][A-Z]|_|[A-Za-z0-9][/.:>][A-Za-z0-9]|[A-Za-z][0-9]")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")

@@ -77,7 +77,7 @@ def lex(text: str, family: str) -> tuple[list[str], list[str]]:
 
 def head_comments(text: str) -> str:
     """The comments before the first code of a file, an opening tag and a first docstring aside."""
-    m = re.match(r"(?:\s+|<\?php\b|#![^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r]*|#(?!\[)[^\n\r]*)+", text.lstrip("﻿"))
+    m = re.match(r"(?:\s+|<\?php\b|#![^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r]*|#(?!\[)[^\n\r]*)+", text.lstrip("\ufeff"))
     return m[0] if m else ""
 
 

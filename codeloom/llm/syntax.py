@@ -27,8 +27,8 @@ def grammar(lang: str) -> Grammar:
 
 
 _ES = re.compile(
-    r"(?:[\s﻿]+|//[^\n\r  ]*|/\*(?:[^*]|\*(?!/))*\*/)*"
-    r"(?:(?P<w>(?:[^\W\d]|\$)[\w$‌‍]*)"
+    r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)*"
+    r"(?:(?P<w>(?:[^\W\d]|\$)[\w$\u200c\u200d]*)"
     r"|(?P<o>\{)|(?P<c>\})"
     r"|(?P<s>'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\")"
     r"|(?P<n>0[xX][\da-fA-F](?:_?[\da-fA-F])*n?(?![\w$])|0[bB][01](?:_?[01])*n?(?![\w$])|0[oO][0-7](?:_?[0-7])*n?(?![\w$])|(?:(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)(?![\w$]))"
@@ -38,7 +38,7 @@ _ES = re.compile(
 )
 _ES_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*(?:(`)|(\$\{))")
 _ES_REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/[\w$]*")
-_NEWLINE = re.compile(r"[\n\r  ]")
+_NEWLINE = re.compile(r"[\n\r\u2028\u2029]")
 _ES_WORDS = {
     "javascript": {w: w for w in f"{G.HARD} {G.STRICT} {G.SOFT_JS}".split()},
     "typescript": {w: w for w in f"{G.HARD} {G.STRICT} {G.SOFT_TS}".split()},

@@ -27,7 +27,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-TEXTS = ["", None, " ", "\n\n\t x  ", "<|endoftext|> plain", "aaaaaaaaaaaaaaaa" * 50, "日本語 テスト🙂🙂", "don't I'LL we'Ve", "x" * 5000 + "\u0000​", "éé      …", "1234567890 " * 300]
+TEXTS = ["", None, " ", "\n\n\t x  ", "<|endoftext|> plain", "aaaaaaaaaaaaaaaa" * 50, "日本語 テスト🙂🙂", "don't I'LL we'Ve", "x" * 5000 + "\u0000\u200b", "éé  \u2028   …", "1234567890 " * 300]
 
 
 @needs_vocabulary
@@ -194,7 +194,7 @@ def test_training_is_deterministic(model):
     [
         ("One whole sentence here. Another one follows!", 2), ("# A heading of words\n\nplain words without an end", 0), ("```py\nThis is inside of code.\n```\nThis one is outside of it.", 1), ("```\nNever closed. Still code here.", 0),
         ("[12:00:01] 0xff something was logged here.\n2024-01-01 more of the same here.", 0), ("| a | b |\n| this is | a table. |", 0), ("- A listed sentence with words.\n    - A nested one with words too.\n", 2), ("    indented code stays out of it.", 0),
-        ("See `foo.bar()` or https://x.y/z.html for the details.", 1), ("x = 1; y = 2;", 0), ("名前が変わるたびに655行を確認してください。これは短い。", 1), ("Version 1.2.3 of the file core/a.ts is the newest one.", 1), ("«Quoted words are here.» And then the rest follows.", 2), ("", 0), (None, 0), ("​  ", 0), ("42", 0),
+        ("See `foo.bar()` or https://x.y/z.html for the details.", 1), ("x = 1; y = 2;", 0), ("名前が変わるたびに655行を確認してください。これは短い。", 1), ("Version 1.2.3 of the file core/a.ts is the newest one.", 1), ("«Quoted words are here.» And then the rest follows.", 2), ("", 0), (None, 0), ("\u200b  ", 0), ("42", 0),
     ],
 )
 def test_segments(text, whole):
