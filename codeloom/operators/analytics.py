@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.plans.lineage import cut
+from codeloom.operators.graph import components
+from codeloom.plans.lineage import cut_round
 
 # How strongly an edge type binds two files; any other type counts 1.
 TYPE_WEIGHTS = {
@@ -88,50 +91,69 @@ def file_pair_weights(edges: DataFrame, files: DataFrame, areas: DataFrame) -> D
     return strong.unionByName(near).groupBy("a", "b").agg(F.sum("w").alias("weight"))
 
 
-def communities(pairs: DataFrame, nodes: DataFrame, levels: int = 3, sweeps: int = 6, resolution: float = 1.0) -> DataFrame:
+def communities(pairs: DataFrame, nodes: DataFrame, levels: int = 12, sweeps: int = 50, resolution: float = 1.0) -> DataFrame:
     """Communities of a weighted graph by Louvain's gain, moving nodes in bulk: ``id``, ``community``.
 
     ``pairs`` has ``a``, ``b``, ``weight``; ``nodes`` has ``id``. A sweep gives
     every node the gain of each neighbouring community from joins and sums, and
-    moves those that gain; by turns only nodes of one half of a hash may move,
-    so that two nodes don't swap for ever. Then communities become nodes. The
-    result is deterministic; it isn't that of moving one node after another.
-    The name of a community is its least id. A node without edges is alone.
+    moves those that gain: first the nodes of one half of a hash, then those of
+    the other, so that two nodes don't swap for ever. Sweeps go on until none
+    moves, then communities become nodes, until none merge; a level that still
+    moves after ``sweeps``, or merges after ``levels``, is reported by a
+    warning. At last a community falls into its connected parts. The result is
+    deterministic; it isn't that of moving one node after another. The name of
+    a community is its least id. A node without edges is alone.
     """
     both = pairs.filter("weight > 0 and a <> b").select("a", "b", "weight")
-    graph = cut(both.union(both.select("b", "a", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    member = cut(nodes.select("id").distinct().select("id", F.col("id").alias("community")))
+    first = graph = cut_round(both.union(both.select("b", "a", "weight")).groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+    member = cut_round(nodes.select("id").distinct().select("id", F.col("id").alias("community")))
     total = graph.agg(F.sum("weight")).first()[0] or 0.0
     if not total:
         return member
-    for _ in range(levels):
-        own = cut(graph.groupBy("a").agg(F.sum("weight").alias("k")).withColumn("c", F.col("a")))
-        any_move = False
+    for level in range(levels):
+        own = cut_round(graph.groupBy("a").agg(F.sum("weight").alias("k")).withColumn("c", F.col("a")))
         for sweep in range(sweeps):
-            sums = own.groupBy("c").agg(F.sum("k").alias("tot"))
-            links = graph.filter("a <> b").join(own.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("weight").alias("w"))
-            stay = own.select("a", "c").join(links, ["a", "c"], "left").select("a", "c", F.coalesce("w", F.lit(0.0)).alias("w"))
-            offers = links.join(own.select("a", F.col("c").alias("now")), "a").filter("c <> now").select("a", "c", "w").unionByName(stay)
-            rated = offers.join(own.select("a", "k", F.col("c").alias("now")), "a").join(sums, "c").select(
-                "a", "k", "now", "c", F.round(F.col("w") - resolution * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0)) / total, 9).alias("gain"),
-            )
-            best = rated.groupBy("a", "k", "now").agg(F.max(F.struct("gain", (F.col("c") == F.col("now")).alias("same"))).alias("top"), F.min_by("c", F.struct(-F.col("gain"), F.col("c") != F.col("now"), "c")).alias("to"))
-            turn = F.pmod(F.xxhash64("a", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-            moved = cut(best.select("a", "k", F.when(turn & ~F.col("top.same"), F.col("to")).otherwise(F.col("now")).alias("c"), (turn & ~F.col("top.same")).alias("moves")))
-            changed = not moved.filter("moves").isEmpty()
-            own = moved.select("a", "k", "c")
-            any_move |= changed
-            if not changed and sweep % 2:
+            changed = False
+            for half in (0, 1):
+                own, moved = _move_half(graph, own, F.pmod(F.xxhash64("a", F.lit(sweep)), F.lit(2)) == half, resolution / max(1.0, total))
+                changed |= moved
+            if not changed:
                 break
-        if not any_move:
-            break
+        else:
+            warnings.warn(f"communities: level {level} still moved nodes after {sweeps} sweeps", stacklevel=2)
         names = own.groupBy("c").agg(F.min("a").alias("name"))
-        into = cut(own.join(names, "c").select("a", "name"))
-        member = cut(member.join(into.withColumnRenamed("a", "community"), "community", "left").select("id", F.coalesce("name", "community").alias("community")))
+        into = cut_round(own.join(names, "c").select("a", "name"))
+        if into.filter("a <> name").isEmpty():  # as many communities as nodes
+            break
+        member = cut_round(member.join(into.withColumnRenamed("a", "community"), "community", "left").select("id", F.coalesce("name", "community").alias("community")))
         s, t = into.select("a", F.col("name").alias("x")), into.select(F.col("a").alias("b"), F.col("name").alias("y"))
-        graph = cut(graph.join(s, "a").join(t, "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
-    least = member.groupBy("community").agg(F.min("id").alias("name"))
-    return member.join(least, "community").select("id", F.col("name").alias("community"))
+        graph = cut_round(graph.join(s, "a").join(t, "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("weight").alias("weight")))
+    else:
+        warnings.warn(f"communities: still merging after {levels} levels", stacklevel=2)
+    return connected_parts(member, first)
+
+
+def _move_half(graph: DataFrame, own: DataFrame, turn: Column, per_degree: float) -> tuple[DataFrame, bool]:
+    """Moves the nodes whose ``turn`` it is to the neighbouring community of the greatest gain, if above nothing and above staying."""
+    state = own.join(own.groupBy("c").agg(F.sum("k").alias("tot")), "c")
+    links = graph.filter("a <> b").filter(turn).join(state.select(F.col("a").alias("b"), "c", "tot"), "b").groupBy("a", "c").agg(F.sum("weight").alias("w"), F.max("tot").alias("tot"))
+    here = F.col("c") == F.col("now")
+    gain = F.round(F.col("w") - per_degree * F.col("k") * (F.col("tot") - F.when(here, F.col("k")).otherwise(0.0)), 9)
+    rated = links.join(own.select("a", "k", F.col("c").alias("now")), "a").select("a", "c", here.alias("here"), gain.alias("gain"))
+    best = rated.groupBy("a").agg(
+        F.max(F.when(F.col("here"), F.col("gain"))).alias("stay"), F.max(F.when(~F.col("here"), F.col("gain"))).alias("go"),
+        F.min_by("c", F.when(~F.col("here"), F.struct(-F.col("gain"), F.col("c")))).alias("to"),
+    )
+    moves = best.filter(F.col("go") > F.greatest(F.lit(0.0), F.coalesce("stay", F.lit(0.0)))).select("a", "to")
+    moved = cut_round(own.join(moves, "a", "left").select("a", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moves")))
+    return moved.select("a", "k", "c"), not moved.filter("moves").isEmpty()
+
+
+def connected_parts(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Splits communities (``id``, ``community``) into the parts that ``links`` (``a``, ``b``) connect inside them, named by their least id."""
+    s, t = member.select(F.col("id").alias("a"), F.col("community").alias("x")), member.select(F.col("id").alias("b"), F.col("community").alias("y"))
+    inner = links.join(s, "a").join(t, "b").filter("x = y").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return member.select("id").join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 
 def community_summary(members: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:

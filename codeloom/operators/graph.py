@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.plans.lineage import cut
+from codeloom.plans.lineage import cut, cut_round
 
 SMALL_FRONTIER = 50_000
 EXECUTABLE = ("calls", "constructor", "fires_hook", "dispatches")
@@ -122,14 +122,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).select("src", "dst")
     nodes = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    edges = cut(pairs.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    edges = cut_round(pairs.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
     while True:
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small_low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = cut(small.union(small_low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
+        new = cut_round(small.union(small_low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct())
         same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
         edges = new
         if same:

@@ -140,7 +140,7 @@ def community_pair_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of files; event nodes share one pseudo file, and so cluster as one."""
     files = graph_nodes(spark, sf_dir, ["file_path"]).filter("file_path is not null").select(F.col("file_path").alias("id")).distinct()
-    return A.communities(_file_pairs(spark, sf_dir), files, levels=2, sweeps=4)
+    return A.communities(_file_pairs(spark, sf_dir), files)
 
 
 def _area_members(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,3 +19,11 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the checkpoint folder and reads it from there, so that a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for a loop of joins: also forgets the estimated size, which each round would multiply to a number without end."""
+    done = cut(df)
+    session = df.sparkSession
+    rows = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)
+    return DataFrame(rows, session)

@@ -41,6 +41,26 @@ def test_communities_split_two_cliques(spark):
     assert got == again
 
 
+def test_communities_go_on_until_no_merge_gains(spark):
+    links = [(f"n{i:03}", f"n{i + 1:03}", 1.0) for i in range(99)]
+    nodes = spark.createDataFrame([(f"n{i:03}",) for i in range(100)], "id string")
+    got = {r["id"]: r["community"] for r in A.communities(pairs(spark, links), nodes).collect()}
+    degree, between, m2 = {}, {}, 2.0 * len(links)
+    for a, b, w in links:
+        for x in (a, b):
+            degree[got[x]] = degree.get(got[x], 0.0) + w
+        if got[a] != got[b]:
+            between[got[a], got[b]] = between.get((got[a], got[b]), 0.0) + w
+    assert between and all(w <= degree[a] * degree[b] / m2 + 1e-6 for (a, b), w in between.items())
+    assert all(got[c] == c and c <= i for i, c in got.items())
+
+
+def test_communities_fall_into_connected_parts(spark):
+    member = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "a"), ("x", "x")], "id string, community string")
+    got = {r["id"]: r["community"] for r in A.connected_parts(member, pairs(spark, [("a", "b", 1.0), ("c", "d", 1.0), ("e", "x", 1.0)])).collect()}
+    assert got == {"a": "a", "b": "a", "c": "c", "d": "c", "e": "e", "x": "x"}
+
+
 def test_communities_of_nothing(spark):
     nodes = spark.createDataFrame([("a",)], "id string")
     assert [tuple(r) for r in A.communities(pairs(spark, [("a", "a", 1.0)]).limit(0), nodes).collect()] == [("a", "a")]
