@@ -307,10 +307,11 @@ def paired_nodes(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     return joined.groupBy("id", "kind", "file_path", F.coalesce("name", "_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("doc")), "\n").alias("doc"))
 
 
-def without_templates(pairs: DataFrame, most_repeats: int) -> DataFrame:
-    """Drops pairs whose description is repeated more than ``most_repeats`` times in the corpus.
+def without_templates(pairs: DataFrame, most_repeats: int, most_share: float = 0.0) -> DataFrame:
+    """Drops pairs whose description is repeated more than ``most_repeats`` times and in more than ``most_share`` of all pairs.
 
-    The words of a function's name and all numbers count as blanks, so that a
+    The share alone decides once it is worth more than ``most_repeats`` pairs, so
+    that ordinary descriptions stay however large the corpus is. The words of a function's name and all numbers count as blanks, so that a
     filled-in template meets its like. Counts cover all pairs.
     """
     parts = F.regexp_extract_all("name", F.lit(r"([A-Z]?[a-z]+|[A-Z]+)"), F.lit(1))
@@ -318,5 +319,7 @@ def without_templates(pairs: DataFrame, most_repeats: int) -> DataFrame:
     names = F.transform(parts, lambda x: F.lower(x))
     shape = F.transform(words, lambda w: F.when(F.array_contains(names, w) | w.rlike(r"^\d+$"), F.lit("_")).otherwise(w))
     hashed = pairs.withColumn("_shape", F.xxhash64(F.array_join(shape, " ")))
-    counts = hashed.groupBy("_shape").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most_repeats).select("_shape")
+    shapes = hashed.groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
+    limit = shapes.agg(F.greatest(F.lit(float(most_repeats)), F.lit(most_share) * F.sum("_n")).alias("_most"))
+    counts = shapes.crossJoin(F.broadcast(limit)).filter(F.col("_n") > F.col("_most")).select("_shape")  # limit is one row
     return balanced_join(hashed, counts, "_shape", load_plans(hashed, ["_shape"])["_shape"], "left_anti").drop("_shape")

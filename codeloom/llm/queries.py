@@ -13,7 +13,8 @@ from codeloom.llm.mixing import mixture, reached_shares
 from codeloom.llm.provenance import provenance, shared_rules
 from codeloom.sources.tables import current_rows, table
 
-TEMPLATE_REPEATS = 20  # a description that more functions share is a template
+TEMPLATE_REPEATS = 20  # a description that more functions share is a template,
+TEMPLATE_SHARE = 0.002  # if they are also more than this share of all documented functions
 SHARED_REPOS = 2
 
 
@@ -41,7 +42,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented functions without those that share a template."""
-    return without_templates(_pairs(spark, sf_dir), TEMPLATE_REPEATS)
+    return without_templates(_pairs(spark, sf_dir), TEMPLATE_REPEATS, TEMPLATE_SHARE)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from codeloom.llm.broken import parse_rates, parse_states
 from codeloom.llm.docs import description, documented, documented_functions, own_words, paired_nodes, without_templates
@@ -81,6 +82,14 @@ def test_pairs(spark):
     assert {r["id"] for r in without_templates(many, 3).collect()} == {"9"} and without_templates(many, 4).count() == 5 and without_templates(many.limit(0), 1).count() == 0
 
 
+def test_ten_times_the_pairs_keep_the_same_descriptions(spark):
+    words = [w for i in range(290) for w in [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}"] * 3] + ["template"] * 130
+    rows = spark.createDataFrame([(str(i), "f", "k", "p", f"About {w} and no more of it") for i, w in enumerate(words)], "id string, name string, kind string, file_path string, doc string")
+    large = rows.crossJoin(spark.range(10).select(F.col("id").alias("copy"))).drop("copy")
+    kept, more = ({r["doc"] for r in without_templates(x, 20, 0.03).collect()} for x in (rows, large))
+    assert kept == more and len(kept) == 290 and "About template and no more of it" not in kept
+
+
 # Parse states
 
 
