@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.repair import Grammars
+from codeloom.llm.repair import Grammars, stretches
 from codeloom.llm.sources import current_results, spread
 from codeloom.llm.syntax import language_of
 
@@ -93,8 +94,11 @@ def path_reason(path: str) -> str | None:
     return None
 
 
-def measures(texts: list[str], families: list[str]) -> pd.DataFrame:
-    """Of each text: tokens, grammar size, start hash, tokens a line, share and entropy of literals, share of words."""
+def measures(texts: list[str], families: list[str], passages: bool = False) -> pd.DataFrame:
+    """Of each text: tokens, grammar size, start hash, tokens a line, share and entropy of literals, share of words.
+
+    ``passages`` adds the hashes of stretches that stand there once to those of long rules.
+    """
     codes: dict[str, int] = {}
     flat, exact, owners, rows = [], [], [], []
     for i, (text, family) in enumerate(zip(texts, families)):
@@ -113,7 +117,8 @@ def measures(texts: list[str], families: list[str]) -> pd.DataFrame:
         owners.append(len(tokens))
     tokens = np.asarray(flat, np.uint64)
     names = np.asarray([zlib.crc32(k.encode("utf-8", "surrogatepass")) | zlib.adler32(k.encode("utf-8", "surrogatepass")[::-1]) << 32 for k in codes], np.uint64)
-    grammar = Grammars(names[tokens.astype(np.int64) - 1] if len(tokens) else tokens, np.repeat(np.arange(len(texts)), owners), len(texts))
+    named, owned = names[tokens.astype(np.int64) - 1] if len(tokens) else tokens, np.repeat(np.arange(len(texts)), owners)
+    grammar = Grammars(named, owned, len(texts))
     out = pd.DataFrame(rows, columns=["n_tokens", "n_lines", "literal_share", "literal_entropy", "word_share", "n_chars"])
     out["grammar_size"], out["n_rules"] = grammar.size, grammar.rules
     out["start_hash"], out["text_hash"] = grammar.start.astype(np.int64), exact
@@ -121,6 +126,10 @@ def measures(texts: list[str], families: list[str]) -> pd.DataFrame:
     shared: list[list[int]] = [[] for _ in texts]
     for o, v in zip(owner.tolist(), value.astype(np.int64).tolist()):
         shared[o].append(v)
+    if passages:
+        owner, value = stretches(named, owned)
+        for o, v in zip(owner.tolist(), value.astype(np.int64).tolist()):
+            shared[o].append(v)
     out["long_rules"] = shared
     return out
 
@@ -177,14 +186,14 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pd.DataFrame], passages: bool = False) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for begin, end in _chunks([len(t) if isinstance(t, str) else 0 for t in batch.source_text]):
             part = batch.iloc[begin:end].reset_index(drop=True)
             texts = [t if isinstance(t, str) else "" for t in part.pop("source_text")]
             paths = [p if isinstance(p, str) else "" for p in part["file_path"]]
             langs = [language_of(p) or _lang(x) for p, x in zip(paths, part.pop("lang_id"))]
-            m = measures(texts, [_FAMILY.get(x, "es") for x in langs])
+            m = measures(texts, [_FAMILY.get(x, "es") for x in langs], passages)
             by_head = ["generated" if _MARKED.search(head_comments(t)) else None for t in texts]
             m["reason"] = [path_reason(p) or h or content_reason(row) for p, h, row in zip(paths, by_head, m.itertuples())]
             yield pd.concat([part, m[[*_KEPT, "long_rules"]]], axis=1)
@@ -199,10 +208,10 @@ def measured_files(source_files: DataFrame, long_rules: bool = False) -> DataFra
 
     Null texts count as empty and have no tokens. Unknown languages are read
     by the rules of JavaScript. ``long_rules`` adds the hashes of the expansions
-    of long rules.
+    of long rules and of the stretches chosen by content.
     """
     rows = source_files.select("file_path", "repo_hash", "loaded_at", "lang_id", "source_text")
-    found = spread(rows, "file_path").mapInPandas(_measure, f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
+    found = spread(rows, "file_path").mapInPandas(partial(_measure, passages=long_rules), f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
     return current_results(found, ["repo_hash", *_KEPT, *(["long_rules"] if long_rules else [])])
 
 
@@ -233,8 +242,9 @@ def provenance(source_files: DataFrame, upstream_files: DataFrame) -> DataFrame:
 def shared_rules(source_files: DataFrame, least_repos: int) -> DataFrame:
     """Files whose rules other repositories have too: ``file_path``, ``repo_hash``, ``n_rules``, ``n_shared``, ``whole_shared``.
 
-    A long rule or a whole file counts as shared if at least ``least_repos``
-    repositories have it. Rules are counted by hash over all files.
+    A long rule, a whole file or a stretch chosen by content counts as shared if
+    at least ``least_repos`` repositories have it, so a passage counts that
+    stands once in a file of each. They are counted by hash over all files.
     """
     files = measured_files(source_files, long_rules=True).filter("n_tokens > 0")
     each = files.select("file_path", "repo_hash", F.explode(F.array_union(F.array("start_hash"), "long_rules")).alias("rule"), "start_hash")

@@ -59,7 +59,8 @@ class Grammars:
         self.start = np.zeros(n, np.uint64)
         done_size = np.zeros(n, np.int64)
         while len(symbol) > 1:
-            pair = mix(symbol[:-1] * _A + mix(symbol[1:] + _C) * _B + owner[:-1].astype(np.uint64) * _C)
+            content = mix(symbol[:-1] * _A + mix(symbol[1:] + _C) * _B)  # the same wherever the text stands
+            pair = mix(content + owner[:-1].astype(np.uint64) * _C)
             same = owner[:-1] == owner[1:]
             at = np.flatnonzero(same)
             if not len(at):
@@ -71,8 +72,8 @@ class Grammars:
             counts = np.diff(np.append(bound, len(keys)))
             if counts.max() < 2:
                 break
-            # A pair's rank: its count, then bits of its hash, so that no two pairs are equal. 0: it doesn't repeat.
-            ranks = np.where(counts >= 2, (counts << 40) | (keys[bound] >> np.uint64(24)).astype(np.int64), 0)
+            # A pair's rank: its count, then bits of its content's hash, so that no two pairs of a sequence are equal. 0: it doesn't repeat.
+            ranks = np.where(counts >= 2, (counts << 40) | (content[at][order][bound] >> np.uint64(24)).astype(np.int64), 0)
             rank = np.zeros(len(symbol), np.int64)
             rank[at[order]] = np.repeat(ranks, counts)
             before, after = np.concatenate(([0], rank[:-1])), np.concatenate((rank[1:], [0]))
@@ -84,17 +85,17 @@ class Grammars:
                 places = np.flatnonzero(top)
                 top[places[(places - begin) & 1 == 1]] = False
             chosen = np.flatnonzero(top)
-            ids = np.sort(rank[chosen])
+            ids = np.sort(pair[chosen])
             lone = np.concatenate(([True], ids[1:] != ids[:-1])) & np.concatenate((ids[:-1] != ids[1:], [True])) if len(ids) else np.zeros(0, bool)
             if lone.any():  # a pair that its neighbours left but one place for makes no rule
-                chosen = chosen[~np.isin(rank[chosen], ids[lone])]
+                chosen = chosen[~np.isin(pair[chosen], ids[lone])]
             if not len(chosen):
                 break
             second = chosen + 1
             symbol, value, span = symbol.copy(), value.copy(), span.copy()
             value[chosen] = value[chosen] * power(span[second]) + value[second]
             span[chosen] += span[second]
-            symbol[chosen] = pair[chosen]
+            symbol[chosen] = content[chosen]
             _, one = np.unique(pair[chosen], return_index=True)
             made = chosen[one]
             self.rules += np.bincount(owner[made], minlength=n)
@@ -126,3 +127,41 @@ class Grammars:
         shifted = value * power(end[owner] - total)
         starts = np.concatenate(([0], last[:-1] + 1))
         self.start[owner[last]] = np.add.reduceat(shifted, starts)
+
+
+STRETCH, WITHIN = 32, 32  # tokens of a stretch; of so many that begin one after the other, one is kept
+
+
+def stretches(tokens: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and hash of stretches of ``STRETCH`` tokens that the tokens themselves choose.
+
+    Of every ``WITHIN`` stretches in a row the one of the least hash is kept, so
+    two sequences with a passage of ``STRETCH + WITHIN - 1`` equal tokens have a
+    stretch in common, whatever stands around it. A sequence shorter than that
+    keeps one of its stretches.
+    """
+    owner, h = owner.astype(np.int64), mix(tokens.astype(np.uint64))
+    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        n = 1
+        while n < STRETCH and len(h) > n:
+            h, n = mix(h[:-n] * _A + mix(h[n:] + _C) * _B), 2 * n
+    if n < STRETCH:
+        return none
+    at = np.flatnonzero(owner[: len(h)] == owner[STRETCH - 1 :])  # those within one sequence
+    if not len(at):
+        return none
+    h, owner = h[at], owner[at]
+    first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    number = np.diff(np.append(first, len(h)))
+    low, n = h, 1
+    while n < WITHIN and len(low) > n:
+        low, n = np.minimum(low[:-n], low[n:]), 2 * n
+    whole = np.flatnonzero(owner[: len(low)] == owner[WITHIN - 1 :]) if n == WITHIN else np.zeros(0, np.int64)
+    few = number < WITHIN
+    owners = np.concatenate((owner[whole], owner[first[few]]))
+    values = np.concatenate((low[whole], np.minimum.reduceat(h, first)[few]))
+    order = np.lexsort((values, owners))
+    owners, values = owners[order], values[order]
+    new = np.concatenate(([True], (owners[1:] != owners[:-1]) | (values[1:] != values[:-1])))
+    return owners[new], values[new]

@@ -190,6 +190,24 @@ def test_provenance(spark):
     assert Counter(r["n_tokens"] for r in measured_files(files(spark, [("q", None, "a b", AT)])).collect()) == {2: 1}
 
 
+def test_passages_shared_once_each(spark):
+    pasted = " ".join(f"call{chr(97 + i)}(x{chr(97 + i)} {'+-*/%'[i % 5]} y{chr(98 + i)});" for i in range(20))
+    own = ["if (left < right) { return right; }", "while (going) { step(); }"]
+    rows = [(f"{r}/x.js", r, f"{own[i]}\n{pasted}\n{own[1 - i]}", AT) for i, r in enumerate("ab")] + [("c/x.js", "c", own[0], AT)]
+    got = {r["file_path"]: (r["n_shared"] > 0, r["whole_shared"]) for r in shared_rules(files(spark, rows), 2).collect()}
+    assert got == {"a/x.js": (True, False), "b/x.js": (True, False), "c/x.js": (False, False)}
+
+
+def test_grammars_do_not_depend_on_neighbours():
+    texts = [HAND, TABLE, "".join(f"f({'abc'[i * i % 3]}, {'xyz'[i * 7 % 5 % 3]}, {'pqr'[i // 2 % 3]});\n" for i in range(90))]
+    alone = [measures([t], ["es"], True).iloc[0] for t in texts]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0, 2, 2]):
+        m = measures([texts[i] for i in order], ["es"] * len(order), True)
+        for row, i in zip(m.itertuples(), order):
+            assert (row.grammar_size, row.n_rules, row.start_hash) == (alone[i].grammar_size, alone[i].n_rules, alone[i].start_hash)
+            assert sorted(row.long_rules) == sorted(alone[i].long_rules)
+
+
 def test_chunks_hold_every_row_once(monkeypatch, spark):
     from codeloom.llm import provenance as P
 
