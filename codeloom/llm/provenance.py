@@ -1,4 +1,13 @@
-"""Generated, minified or vendored source files, and data saved as code."""
+"""Generated, minified or vendored source files, and data saved as code.
+
+What a file is follows from Re-Pair grammars. Rules that one file uses over and
+over tell a program's output and bundles; literals whose own grammar hardly
+shrinks tell blobs; rules that files of other repositories or known third-party
+files have too tell copies. Two kinds have bodies like hand-written ones: files
+that only a note at their head or only their place gives away. There the
+grammar of all heads and paths finds the rules that a file shares with known
+notes and places, and an exact comparison of the wording follows.
+"""
 
 from __future__ import annotations
 
@@ -12,27 +21,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.repair import Grammars, stretches
+from codeloom.llm.repair import Grammars, mix, stretches
 from codeloom.llm.sources import current_results, spread
 from codeloom.llm.syntax import language_of
+from codeloom.operators.balance import balanced_join, load_plans
+from codeloom.plans.lineage import cut
 
-# Thresholds, all on measures of one file.
-LEAST_TOKENS = 60  # shorter files repeat too little to tell
+# Thresholds, all on measures of one file that don't depend on its length or the corpus.
 REUSED = 0.35  # grammar size for each token: below, rules are reused as only programs do
+REUSED_DENSE = 0.65  # the same where lines are dense
 DENSE_LINE = 40  # tokens for each line: above, no hand broke the lines
-LITERAL = 0.9  # share of a file's characters that stand in literals: above, it is data
-INCOMPRESSIBLE = 0.6  # compressed size of the literals for each byte: above, they are no text
+LITERAL = 0.9  # share of a file's characters that stand in literals: above, it is text or data
+BLOB_BITS = 4.8  # bits of a literal's grammar for each character: above, it is no text
+TABLE = 0.5  # grammar size for each separator of a literal: below, its rows repeat
+TABLE_COLUMNS = 3  # separators for each line: from here on, lines are rows
 PROSE = 0.6  # share of words among tokens: above, it is text and no program
 REPEATED_WORDS = 0.8  # share of words among tokens: above, it is repeated words and no code
 PLAIN_WORDS = 0.06  # share of words among tokens: below, there is nothing but data
+COPIED = 0.8  # share of a file's passages that others have too: above, it is a copy
 
-# Names of folders and files by common convention.
+# Folders that by common convention hold third-party copies.
 VENDOR_FOLDERS = "vendor vendored vendors third_party third-party thirdparty 3rdparty 3rd-party extern external externals node_modules bower_components _deps deps site-packages jspm_packages Godeps Pods Carthage"
-GENERATED_FOLDERS = "generated __generated__ autogen gen _generated codegen"
-BUILT_FOLDERS = "dist bundle bundles"
-GENERATED_NAMES = r"(?:\.(?:gen|g|generated|pb|min\.gen)|_generated|_pb2|_pb2_grpc|\.designer)\.\w+$"
-MINIFIED_NAMES = r"[.-](?:min|bundle|packed|chunk)\.\w+$"
-# What programs write about their own output, at the begin of a comment's line.
+# Notes that programs leave in their output.
+NOTES = (
+    "@generated by", "<auto-generated>", "code generated by a program, do not edit", "this file is autogenerated", "this file is generated", "this file was generated",
+    "this file has been generated", "this module was generated", "source generated by", "auto generated file", "automatically generated by", "generated on", "generated at", "generated from",
+    "generated with", "generated using", "machine made by", "machine generated", "machine written", "automatisch erzeugt aus", "automatisch generiert von",
+    "généré automatiquement par", "genere par", "generado automáticamente por", "gerado automaticamente por", "generato automaticamente da", "автоматически сгенерирован", "файл сгенерирован", "自動生成",
+    "do not edit, generated file", "do not modify, changes will be overwritten", "do not change by hand", "created by a program",
+)
+# How such a note begins, at the begin of a comment's line.
 MARKERS = (
     r"@generated\b",
     r"<auto-?generated",
@@ -63,7 +81,9 @@ _LEX = {
 _FAMILY = {"javascript": "es", "typescript": "es", "php": "php", "python": "python"}
 _DIGITS = re.compile(r"\d+")  # numbered names are one name: programs count, hands don't
 _NEWLINES = re.compile(r"\r\n|\n|\r")
-_WORDLIKE = re.compile(r"[^\W\d_]*[^\W\d][\w$]*\Z|\$\w*\Z")
+_SEPARATORS = re.compile(r"[^,;:|\t\n\-]+")
+_HEAD_WORD = re.compile(r"[^\W_]+|[/@\n]")
+_PLACES = frozenset(VENDOR_FOLDERS.split())
 
 
 def lex(text: str, family: str) -> tuple[list[str], list[str]]:
@@ -82,25 +102,17 @@ def head_comments(text: str) -> str:
     return m[0] if m else ""
 
 
-def path_reason(path: str) -> str | None:
-    parts = path.split("/")
-    folders = parts[:-1]
-    if any(p in VENDOR_FOLDERS.split() for p in folders):
-        return "vendored"
-    if any(p in GENERATED_FOLDERS.split() for p in folders) or re.search(GENERATED_NAMES, parts[-1], re.I):
-        return "generated"
-    if re.search(MINIFIED_NAMES, parts[-1], re.I):
-        return "minified"
-    return None
-
-
 def measures(texts: list[str], families: list[str], passages: bool = False) -> pd.DataFrame:
-    """Of each text: tokens, grammar size, start hash, tokens a line, share and entropy of literals, share of words.
+    """Of each text: tokens, lines, grammar size, start hash, share of literals and words, and the literals' own grammar.
 
-    ``passages`` adds the hashes of stretches that stand there once to those of long rules.
+    ``literal_bits`` are the bits of the grammar of the literals' characters for
+    each character, ``literal_rows`` the size of the grammar of their separators
+    for each separator (1 where lines are no rows); both are measured where
+    almost all characters stand in literals. ``passages`` adds the hashes of
+    long rules and of stretches that stand there once.
     """
     codes: dict[str, int] = {}
-    flat, exact, owners, rows = [], [], [], []
+    flat, exact, owners, rows, told = [], [], [], [], []
     for i, (text, family) in enumerate(zip(texts, families)):
         tokens, _ = lex(text, family)
         shape = ["\0N" if t[0].isdigit() or t[0] == "." and len(t) > 1 else "\0S" if t[-1] in "'\"`" and len(t) > 1 else t if len(t) == 1 or t.isalpha() else _DIGITS.sub("#", t) for t in tokens]
@@ -108,43 +120,59 @@ def measures(texts: list[str], families: list[str], passages: bool = False) -> p
         n_words = sum(1 for s in shape if s[0].isalpha() or s[0] in "_$")
         lines = sum(1 for x in _NEWLINES.split(text) if x.strip())
         size = sum(map(len, tokens))
-        table = len(tokens) < LEAST_TOKENS and len(literals) > 200 and max((_rows(t) for t, c in zip(tokens, shape) if c == "\0S"), default=0)
-        packed = 1.0 if table else len(zlib.compress(literals.encode("utf-8", "surrogatepass"), 6)) / max(1, len(literals)) if len(literals) > 400 else 0.0
-        rows.append((len(tokens), lines, len(literals) / max(1, size), packed, n_words / max(1, len(tokens)), size))
+        rows.append((len(tokens), lines, len(literals) / max(1, size), n_words / max(1, len(tokens))))
+        if size and len(literals) > LITERAL * size:
+            told.append((i, literals))
         for t in shape:
             flat.append(codes.setdefault(t, len(codes) + 1))
         exact.append(hash_text(tokens))
         owners.append(len(tokens))
     tokens = np.asarray(flat, np.uint64)
-    names = np.asarray([zlib.crc32(k.encode("utf-8", "surrogatepass")) | zlib.adler32(k.encode("utf-8", "surrogatepass")[::-1]) << 32 for k in codes], np.uint64)
+    names = np.asarray([_name(k) for k in codes], np.uint64)
     named, owned = names[tokens.astype(np.int64) - 1] if len(tokens) else tokens, np.repeat(np.arange(len(texts)), owners)
     grammar = Grammars(named, owned, len(texts))
-    out = pd.DataFrame(rows, columns=["n_tokens", "n_lines", "literal_share", "literal_entropy", "word_share", "n_chars"])
+    out = pd.DataFrame(rows, columns=["n_tokens", "n_lines", "literal_share", "word_share"])
     out["grammar_size"], out["n_rules"] = grammar.size, grammar.rules
     out["start_hash"], out["text_hash"] = grammar.start.astype(np.int64), exact
-    owner, value, _ = grammar.used
-    shared: list[list[int]] = [[] for _ in texts]
-    for o, v in zip(owner.tolist(), value.astype(np.int64).tolist()):
-        shared[o].append(v)
+    out["literal_bits"], out["literal_rows"] = 0.0, 1.0
+    if told:
+        at = [i for i, _ in told]
+        out.loc[at, "literal_bits"], out.loc[at, "literal_rows"] = literal_bits([x for _, x in told]), literal_rows([x for _, x in told])
     if passages:
-        owner, value = stretches(named, owned)
-        for o, v in zip(owner.tolist(), value.astype(np.int64).tolist()):
-            shared[o].append(v)
-    out["long_rules"] = shared
+        shared: list[list[int]] = [[] for _ in texts]
+        for owner, value in (grammar.used[:2], stretches(named, owned)):
+            for o, v in zip(owner.tolist(), value.astype(np.int64).tolist()):
+                shared[o].append(v)
+        out["long_rules"] = shared
     return out
 
 
-def _rows(literal: str) -> bool:
-    """Whether a text is a table: most of at least eight lines have the same fields, at least three."""
-    lines = [x for x in _NEWLINES.split(literal)[1:-1] if x.strip()]
-    if len(lines) < 8:
-        return False
-    for mark in ",;\t|":
-        counts = sorted(x.count(mark) for x in lines)
-        middle = counts[len(counts) // 2]
-        if middle >= 2 and counts.count(middle) >= 0.8 * len(counts):
-            return True
-    return False
+def _name(token: str) -> int:
+    data = token.encode("utf-8", "surrogatepass")
+    return zlib.crc32(data) | zlib.adler32(data[::-1]) << 32
+
+
+def _character_grammars(texts: list[str]) -> tuple[Grammars, np.ndarray, np.ndarray]:
+    chars = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
+    lengths = np.asarray([len(c) for c in chars], np.int64)
+    flat, owner = np.concatenate(chars).astype(np.uint64), np.repeat(np.arange(len(texts)), lengths)
+    with np.errstate(over="ignore"):
+        grammar = Grammars(mix(flat + np.uint64(1)), owner, len(texts))
+    return grammar, lengths, np.asarray([len(np.unique(c)) for c in chars], np.int64)
+
+
+def literal_bits(literals: list[str]) -> np.ndarray:
+    """Bits for each character when every symbol of a text's Re-Pair grammar costs the logarithm of all its symbols."""
+    grammar, lengths, distinct = _character_grammars(literals)
+    return grammar.size * np.log2(np.maximum(2, distinct + grammar.rules)) / np.maximum(1, lengths)
+
+
+def literal_rows(literals: list[str]) -> np.ndarray:
+    """Size of the grammar of the separators alone, for each separator: little where a text is a table of equal rows."""
+    marks = [_SEPARATORS.sub("", t.strip("'\"`\r\n")) for t in literals]
+    grammar, lengths, _ = _character_grammars([m or "\n" for m in marks])
+    columns = np.asarray([len(m) / max(1, m.count("\n")) - 1 if "\n" in m else 0.0 for m in marks])
+    return np.where(columns >= TABLE_COLUMNS, grammar.size / np.maximum(1, lengths), 1.0)
 
 
 def hash_text(tokens: list[str]) -> int:
@@ -154,24 +182,55 @@ def hash_text(tokens: list[str]) -> int:
     return xxhash.xxh3_64_intdigest("".join("".join(tokens).split()).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def content_reason(row) -> str | None:
-    """What a file's own measures say: ``data``, ``minified``, ``generated`` or nothing."""
-    n = row.n_tokens
-    if row.n_chars > 400 and row.literal_share > LITERAL and row.literal_entropy > INCOMPRESSIBLE:
-        return "data"
-    if n < LEAST_TOKENS:
+def content_reason(row) -> tuple[str, str] | None:
+    """What a file's own grammars say: ``data``, ``minified`` or ``generated`` and what told it, or nothing."""
+    n = max(1, row.n_tokens)
+    if row.literal_share > LITERAL and row.literal_bits > BLOB_BITS:
+        return "data", "literals that hardly shrink"
+    if row.literal_share > LITERAL and row.literal_rows < TABLE:
+        return "data", "rows that repeat"
+    if row.word_share < PLAIN_WORDS and row.literal_share > 0:
+        return "data", "nothing but literals"
+    if not row.n_rules:
         return None
-    if row.word_share < PLAIN_WORDS:
-        return "data"
-    if n / max(1, row.n_lines) > DENSE_LINE and row.word_share < PROSE:
-        return "minified"
+    if n / max(1, row.n_lines) > DENSE_LINE and row.grammar_size / n < REUSED_DENSE and row.word_share < PROSE:
+        return "minified", "rule reuse in dense lines"
     if row.grammar_size / n < REUSED and row.word_share < REPEATED_WORDS:
-        return "generated"
+        return "generated", "rule reuse"
     return None
 
 
-_MEASURED = "n_tokens bigint, grammar_size bigint, n_rules bigint, reason string, start_hash bigint, text_hash bigint, long_rules array<bigint>"
-_KEPT = ["n_tokens", "grammar_size", "n_rules", "reason", "start_hash", "text_hash"]
+def head_reasons(paths: list[str], texts: list[str]) -> list[tuple[str, str] | None]:
+    """Of each file what its place or the note at its head says, found by rules shared with known places and notes.
+
+    One Re-Pair grammar is built over the folders and the first comments of all
+    files together with the known ones. Files that share no repeated pair with
+    a known one are out; of the others the wording decides.
+    """
+    known = [f"/{f}/" for f in VENDOR_FOLDERS.split()] + list(NOTES)
+    heads = [head_comments(t) for t in texts]
+    flat, owners = [], []
+    for words in (_HEAD_WORD.findall(x) for x in (*known, *(f"/{p.rsplit('/', 1)[0]}/ \n {h.lower()}" for p, h in zip(paths, heads)))):
+        flat += words
+        owners.append(len(words))
+    codes = {w: _name(w) for w in set(flat)}
+    owner = np.repeat(np.arange(len(owners)), owners)
+    grammar = Grammars(np.asarray([codes[w] for w in flat], np.uint64), owner, len(owners), pooled=True)
+    out: list[tuple[str, str] | None] = [None] * len(paths)
+    if not grammar.seen:
+        return out
+    owner, pair = (np.concatenate(x) for x in zip(*grammar.seen))
+    from_known = owner < len(known)
+    for i in np.unique(owner[~from_known & np.isin(pair, pair[from_known])]) - len(known):
+        if any(p in _PLACES for p in paths[i].split("/")[:-1]):
+            out[i] = "vendored", "place"
+        elif _MARKED.search(heads[i]):
+            out[i] = "generated", "note"
+    return out
+
+
+_MEASURED = "n_tokens bigint, grammar_size bigint, n_rules bigint, reason string, evidence string, start_hash bigint, text_hash bigint, long_rules array<bigint>"
+_KEPT = ["n_tokens", "grammar_size", "n_rules", "reason", "evidence", "start_hash", "text_hash", "long_rules"]
 _CHUNK, _CHUNK_CHARS = 1500, 4_000_000  # texts, and about their characters, whose grammars are built together
 
 
@@ -186,71 +245,85 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield begin, len(sizes)
 
 
-def _measure(batches: Iterator[pd.DataFrame], passages: bool = False) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for begin, end in _chunks([len(t) if isinstance(t, str) else 0 for t in batch.source_text]):
             part = batch.iloc[begin:end].reset_index(drop=True)
             texts = [t if isinstance(t, str) else "" for t in part.pop("source_text")]
             paths = [p if isinstance(p, str) else "" for p in part["file_path"]]
             langs = [language_of(p) or _lang(x) for p, x in zip(paths, part.pop("lang_id"))]
-            m = measures(texts, [_FAMILY.get(x, "es") for x in langs], passages)
-            by_head = ["generated" if _MARKED.search(head_comments(t)) else None for t in texts]
-            m["reason"] = [path_reason(p) or h or content_reason(row) for p, h, row in zip(paths, by_head, m.itertuples())]
-            yield pd.concat([part, m[[*_KEPT, "long_rules"]]], axis=1)
+            m = measures(texts, [_FAMILY.get(x, "es") for x in langs], passages=True)
+            said = [content_reason(row) or head for row, head in zip(m.itertuples(), head_reasons(paths, texts))]
+            m["reason"], m["evidence"] = [x and x[0] for x in said], [x and x[1] for x in said]
+            yield pd.concat([part, m[_KEPT]], axis=1)
 
 
 def _lang(x) -> str | None:
     return x if isinstance(x, str) else None
 
 
-def measured_files(source_files: DataFrame, long_rules: bool = False) -> DataFrame:
-    """Re-Pair measures and a first reason for the current text of each file.
+def measured_files(source_files: DataFrame) -> DataFrame:
+    """Re-Pair measures, what they say and the hashes of long rules and passages, for the current text of each file.
 
     Null texts count as empty and have no tokens. Unknown languages are read
-    by the rules of JavaScript. ``long_rules`` adds the hashes of the expansions
-    of long rules and of the stretches chosen by content.
+    by the rules of JavaScript.
     """
     rows = source_files.select("file_path", "repo_hash", "loaded_at", "lang_id", "source_text")
-    found = spread(rows, "file_path").mapInPandas(partial(_measure, passages=long_rules), f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
-    return current_results(found, ["repo_hash", *_KEPT, *(["long_rules"] if long_rules else [])])
+    found = spread(rows, "file_path").mapInPandas(_measure, f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
+    return current_results(found, ["repo_hash", *_KEPT])
 
 
-def known_texts(upstream_files: DataFrame) -> DataFrame:
-    """The distinct hashes of known third-party files: ``_start`` of the start rule, ``_text`` of the exact tokens."""
-    rows = upstream_files.select(F.col("file_name").alias("file_path"), F.lit("").alias("repo_hash"), F.lit(None).cast("timestamp_ntz").alias("loaded_at"), "lang_id", "source_text")
-    found = rows.mapInPandas(_measure, f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}")
-    return found.filter("n_tokens > 0").select(F.col("start_hash").alias("_start"), F.col("text_hash").alias("_text")).distinct()
+def known_files(upstream_files: DataFrame) -> DataFrame:
+    """The measures of known third-party files with any tokens, by package."""
+    rows = upstream_files.select(F.col("file_name").alias("file_path"), F.col("pkg_name").alias("repo_hash"), F.lit(None).cast("timestamp_ntz").alias("loaded_at"), "lang_id", "source_text")
+    return rows.mapInPandas(_measure, f"file_path string, repo_hash string, loaded_at timestamp_ntz, {_MEASURED}").filter("n_tokens > 0")
 
 
-def provenance(source_files: DataFrame, upstream_files: DataFrame) -> DataFrame:
-    """Why a file isn't hand-written there, or null: ``file_path``, ``repo_hash``, ``reason`` and the measures.
+def shared_passages(files: DataFrame, known: DataFrame) -> DataFrame:
+    """How many of each file's long rules and passages others have too: ``file_path``, ``n_passages``, ``n_shared``.
 
-    A file whose whole grammar expands to the same tokens as a known third-party
-    file is ``vendored`` after an exact comparison of the tokens; then folders,
-    names and the program's own note at the head speak, then rule reuse
-    (``generated``), line density (``minified``) and literals (``data``).
-    Shared rules reach over the corpus by hash, so no texts are compared.
+    ``files`` and ``known`` have ``file_path``, ``repo_hash`` and
+    ``long_rules``. A rule is shared if a known file or a file of another
+    repository has it. They are counted by hash over all files; a rule that
+    many files have is split over several tasks.
     """
-    files = measured_files(source_files)
-    known = known_texts(upstream_files).withColumn("_known", F.lit(True))
-    same = (F.col("start_hash") == F.col("_start")) & (F.col("text_hash") == F.col("_text"))
-    joined = files.join(known, same, "left")
-    reason = F.when(F.col("_known"), "vendored").otherwise(F.col("reason"))
-    return joined.select("file_path", "repo_hash", reason.alias("reason"), "n_tokens", "grammar_size", "n_rules")
-
+    each = files.select("file_path", F.coalesce("repo_hash", F.lit("")).alias("repo_hash"), F.explode(F.array_distinct("long_rules")).alias("rule"))
+    theirs = known.select(F.explode(F.array_distinct("long_rules")).alias("rule")).distinct().select("rule", F.lit(None).cast("string").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(True).alias("known"))
+    repos = each.groupBy("rule").agg(F.min("repo_hash").alias("a"), F.max("repo_hash").alias("b")).withColumn("known", F.lit(False))
+    shared = repos.unionByName(theirs).groupBy("rule").agg(F.max("known").alias("known"), F.min("a").alias("a"), F.max("b").alias("b"))
+    shared = shared.filter(F.col("known") | (F.col("a") != F.col("b"))).select("rule", F.lit(1).alias("_hit"))
+    found = balanced_join(each.select("file_path", "rule"), shared, "rule", load_plans(each, ["rule"])["rule"], "left")
+    return found.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_passages"), F.count("_hit").alias("n_shared"))
 
-def shared_rules(source_files: DataFrame, least_repos: int) -> DataFrame:
-    """Files whose rules other repositories have too: ``file_path``, ``repo_hash``, ``n_rules``, ``n_shared``, ``whole_shared``.
 
-    A long rule, a whole file or a stretch chosen by content counts as shared if
-    at least ``least_repos`` repositories have it, so a passage counts that
-    stands once in a file of each. They are counted by hash over all files.
+def provenance(source_files: DataFrame, upstream_files: DataFrame) -> DataFrame:
+    """Why a file isn't hand-written there, or null: ``file_path``, ``repo_hash``, ``reason``, ``evidence`` and the measures.
+
+    A file whose grammar expands to the same tokens as a known third-party file
+    is ``vendored`` after an exact comparison of the tokens, and so is one whose
+    long rules and passages are nearly all found in known files or in other
+    repositories. Its own grammars tell ``data``, ``minified`` and
+    ``generated``, and rules shared with known places and notes, after a
+    comparison of the wording, ``vendored`` and ``generated``.
     """
-    files = measured_files(source_files, long_rules=True).filter("n_tokens > 0")
-    each = files.select("file_path", "repo_hash", F.explode(F.array_union(F.array("start_hash"), "long_rules")).alias("rule"), "start_hash")
-    repos = each.select("rule", "repo_hash").distinct().groupBy("rule").agg(F.count("repo_hash").alias("n_repos")).filter(F.col("n_repos") >= least_repos)
-    found = each.join(repos, "rule", "left")
-    return found.groupBy("file_path", "repo_hash").agg(
-        F.count(F.lit(1)).alias("n_rules"), F.count("n_repos").alias("n_shared"),
-        F.max(F.col("n_repos").isNotNull() & (F.col("rule") == F.col("start_hash"))).alias("whole_shared"),
+    files, known = cut(measured_files(source_files)), known_files(upstream_files)
+    same = known.select(F.col("start_hash").alias("_start"), F.col("text_hash").alias("_text"), F.lit(True).alias("_known")).distinct()
+    joined = files.join(same, (F.col("start_hash") == F.col("_start")) & (F.col("text_hash") == F.col("_text")), "left")
+    joined = joined.join(shared_passages(files, known), "file_path", "left")
+    copied = F.coalesce(F.col("n_shared") > F.lit(COPIED) * F.col("n_passages"), F.lit(False))
+    reason = F.when(F.col("_known"), "vendored").when(F.col("reason").isNotNull(), F.col("reason")).when(copied, "vendored")
+    evidence = F.when(F.col("_known"), "rules of a known file").when(F.col("reason").isNotNull(), F.col("evidence")).when(copied, "rules shared with others")
+    return joined.select(
+        "file_path", "repo_hash", reason.alias("reason"), evidence.alias("evidence"), "n_tokens", "grammar_size", "n_rules",
+        F.coalesce("n_passages", F.lit(0)).alias("n_passages"), F.coalesce("n_shared", F.lit(0)).alias("n_shared"),
     )
+
+
+def shared_rules(source_files: DataFrame, upstream_files: DataFrame) -> DataFrame:
+    """Files with long rules or passages: ``file_path``, ``repo_hash``, ``n_passages``, ``n_shared``, as `shared_passages` counts them.
+
+    Passages are chosen by content, so any passage of 63 tokens counts that
+    stands once in a file of each of two repositories.
+    """
+    files = cut(measured_files(source_files))
+    return shared_passages(files, known_files(upstream_files)).join(files.select("file_path", "repo_hash"), "file_path").select("file_path", "repo_hash", "n_passages", "n_shared")

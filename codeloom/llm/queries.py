@@ -15,7 +15,6 @@ from codeloom.sources.tables import current_rows, table
 
 TEMPLATE_REPEATS = 20  # a description that more functions share is a template,
 TEMPLATE_SHARE = 0.002  # if they are also more than this share of all documented functions
-SHARED_REPOS = 2
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +54,7 @@ def p5_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_shared_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_rules(table(spark, sf_dir, "source_files"), SHARED_REPOS)
+    return shared_rules(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "upstream_files"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

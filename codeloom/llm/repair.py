@@ -45,13 +45,19 @@ class Grammars:
     rule), ``rules``, and ``start``, a hash of the start rule's expansion,
     which doesn't depend on how the text was split into rules. ``used`` has the
     long rules: owner, hash and length of the expansion.
+
+    ``pooled`` gives all sequences one grammar: pairs are counted over all of
+    them, though no pair reaches from one into the next. Then ``seen`` has every
+    repeated pair that stood in a sequence in any round, as owner and hash, and
+    ``rules`` counts a rule for the first sequence that has it.
     """
 
-    def __init__(self, tokens: np.ndarray, owner: np.ndarray, n: int, long_rule: int = 32):
+    def __init__(self, tokens: np.ndarray, owner: np.ndarray, n: int, long_rule: int = 32, pooled: bool = False):
+        self.seen: list[tuple[np.ndarray, np.ndarray]] = []
         with np.errstate(over="ignore"):
-            self._build(tokens.astype(np.uint64), owner.astype(np.int64), n, long_rule)
+            self._build(tokens.astype(np.uint64), owner.astype(np.int64), n, long_rule, pooled)
 
-    def _build(self, tokens, owner, n, long_rule):
+    def _build(self, tokens, owner, n, long_rule, pooled):
         self.length = np.bincount(owner, minlength=n)
         symbol, value, span = tokens, mix(tokens), np.ones(len(tokens), np.int64)
         self.rules = np.zeros(n, np.int64)
@@ -60,7 +66,7 @@ class Grammars:
         done_size = np.zeros(n, np.int64)
         while len(symbol) > 1:
             content = mix(symbol[:-1] * _A + mix(symbol[1:] + _C) * _B)  # the same wherever the text stands
-            pair = mix(content + owner[:-1].astype(np.uint64) * _C)
+            pair = content if pooled else mix(content + owner[:-1].astype(np.uint64) * _C)
             same = owner[:-1] == owner[1:]
             at = np.flatnonzero(same)
             if not len(at):
@@ -76,6 +82,9 @@ class Grammars:
             ranks = np.where(counts >= 2, (counts << 40) | (content[at][order][bound] >> np.uint64(24)).astype(np.int64), 0)
             rank = np.zeros(len(symbol), np.int64)
             rank[at[order]] = np.repeat(ranks, counts)
+            if pooled:
+                again = np.flatnonzero(rank > 0)
+                self.seen.append((owner[again], content[again]))
             before, after = np.concatenate(([0], rank[:-1])), np.concatenate((rank[1:], [0]))
             top = (rank > 0) & (rank >= before) & (rank >= after)
             same_run = top & (rank == before)
