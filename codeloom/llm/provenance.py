@@ -80,20 +80,33 @@ _LEX = {
 }
 _FAMILY = {"javascript": "es", "typescript": "es", "php": "php", "python": "python"}
 _DIGITS = re.compile(r"\d+")  # numbered names are one name: programs count, hands don't
-_NEWLINES = re.compile(r"\r\n|\n|\r")
+_LINE = re.compile(r"\S[^\n\r]*")
 _SEPARATORS = re.compile(r"[^,;:|\t\n\-]+")
 _HEAD_WORD = re.compile(r"[^\W_]+|[/@\n]")
 _PLACES = frozenset(VENDOR_FOLDERS.split())
 
 
-def lex(text: str, family: str) -> tuple[list[str], list[str]]:
-    """The tokens and the comments of a text."""
-    found = _LEX[family].findall(text)
-    if family == "python":
-        return [t for t in found if t[0] != "#"], [t for t in found if t[0] == "#"]
-    marks = ("//", "/*", "#") if family == "php" else ("//", "/*")
-    comments = [t for t in found if len(t) > 1 and t.startswith(marks)]
-    return ([t for t in found if not (len(t) > 1 and t.startswith(marks))] if comments else found), comments
+class _Vocabulary(dict):
+    """The distinct tokens of one language family, numbered on first sight; all families share the lists of properties."""
+
+    def __init__(self, family: str, properties: list[tuple[int, int, bool, bool]], comments: set[int]):
+        super().__init__()
+        self.marks = {"python": ("#",), "php": ("//", "/*", "#")}.get(family, ("//", "/*"))
+        self.python, self.properties, self.comments = family == "python", properties, comments
+
+    def __missing__(self, token: str) -> int:
+        number = self[token] = len(self.properties)
+        if token.startswith(self.marks) and (self.python or len(token) > 1):
+            self.comments.add(number)
+        literal = True
+        if token[0].isdigit() or token[0] == "." and len(token) > 1:
+            shape = "\0N"
+        elif token[-1] in "'\"`" and len(token) > 1:
+            shape = "\0S"
+        else:
+            literal, shape = False, token if len(token) == 1 or token.isalpha() else _DIGITS.sub("#", token)
+        self.properties.append((_name(shape), len(token), literal, shape[0].isalpha() or shape[0] in "_$"))
+        return number
 
 
 def head_comments(text: str) -> str:
@@ -111,33 +124,38 @@ def measures(texts: list[str], families: list[str], passages: bool = False) -> p
     almost all characters stand in literals. ``passages`` adds the hashes of
     long rules and of stretches that stand there once.
     """
-    codes: dict[str, int] = {}
-    flat, exact, owners, rows, told = [], [], [], [], []
-    for i, (text, family) in enumerate(zip(texts, families)):
-        tokens, _ = lex(text, family)
-        shape = ["\0N" if t[0].isdigit() or t[0] == "." and len(t) > 1 else "\0S" if t[-1] in "'\"`" and len(t) > 1 else t if len(t) == 1 or t.isalpha() else _DIGITS.sub("#", t) for t in tokens]
-        literals = "".join(t for t, s in zip(tokens, shape) if s[0] == "\0")
-        n_words = sum(1 for s in shape if s[0].isalpha() or s[0] in "_$")
-        lines = sum(1 for x in _NEWLINES.split(text) if x.strip())
-        size = sum(map(len, tokens))
-        rows.append((len(tokens), lines, len(literals) / max(1, size), n_words / max(1, len(tokens))))
-        if size and len(literals) > LITERAL * size:
-            told.append((i, literals))
-        for t in shape:
-            flat.append(codes.setdefault(t, len(codes) + 1))
+    properties: list[tuple[int, int, bool, bool]] = []
+    comments: set[int] = set()
+    known = {f: _Vocabulary(f, properties, comments) for f in _LEX}
+    flat: list[int] = []
+    exact, owners, lines, told = [], [], [], []
+    for text, family in zip(texts, families):
+        tokens = _LEX[family].findall(text)
+        numbers = list(map(known[family].__getitem__, tokens))
+        if not comments.isdisjoint(numbers):
+            tokens = [t for t, i in zip(tokens, numbers) if i not in comments]
+            numbers = [i for i in numbers if i not in comments]
+        flat += numbers
+        owners.append(len(numbers))
+        lines.append(len(_LINE.findall(text)))
         exact.append(hash_text(tokens))
-        owners.append(len(tokens))
-    tokens = np.asarray(flat, np.uint64)
-    names = np.asarray([_name(k) for k in codes], np.uint64)
-    named, owned = names[tokens.astype(np.int64) - 1] if len(tokens) else tokens, np.repeat(np.arange(len(texts)), owners)
+    n, at, owned = len(texts), np.asarray(flat, np.int64), np.repeat(np.arange(len(texts)), owners)
+    name, length, literal, word = (np.asarray(x, t)[at] for x, t in zip(zip(*properties) if properties else ((),) * 4, (np.uint64, np.int64, bool, bool)))
+    size, in_literals = np.bincount(owned, length, n), np.bincount(owned, length * literal, n)
+    share, words = in_literals / np.maximum(1, size), np.bincount(owned, word, n) / np.maximum(1, owners)
+    begins = np.concatenate(([0], np.cumsum(owners)))
+    for i in np.flatnonzero(share > LITERAL).tolist():
+        back = {number: t for t, number in known[families[i]].items()} if not told or told[-1][2] != families[i] else told[-1][3]
+        told.append((i, "".join(back[j] for j, x in zip(flat[begins[i]:begins[i + 1]], literal[begins[i]:begins[i + 1]]) if x), families[i], back))
+    rows, named = list(zip(owners, lines, share, words)), name
     grammar = Grammars(named, owned, len(texts))
     out = pd.DataFrame(rows, columns=["n_tokens", "n_lines", "literal_share", "word_share"])
     out["grammar_size"], out["n_rules"] = grammar.size, grammar.rules
     out["start_hash"], out["text_hash"] = grammar.start.astype(np.int64), exact
     out["literal_bits"], out["literal_rows"] = 0.0, 1.0
     if told:
-        at = [i for i, _ in told]
-        out.loc[at, "literal_bits"], out.loc[at, "literal_rows"] = literal_bits([x for _, x in told]), literal_rows([x for _, x in told])
+        at, literals = [x[0] for x in told], [x[1] for x in told]
+        out.loc[at, "literal_bits"], out.loc[at, "literal_rows"] = literal_bits(literals), literal_rows(literals)
     if passages:
         shared: list[list[int]] = [[] for _ in texts]
         for owner, value in (grammar.used[:2], stretches(named, owned)):
