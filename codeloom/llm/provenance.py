@@ -249,7 +249,7 @@ def head_reasons(paths: list[str], texts: list[str]) -> list[tuple[str, str] | N
 
 _MEASURED = "n_tokens bigint, grammar_size bigint, n_rules bigint, reason string, evidence string, start_hash bigint, text_hash bigint, long_rules array<bigint>"
 _KEPT = ["n_tokens", "grammar_size", "n_rules", "reason", "evidence", "start_hash", "text_hash", "long_rules"]
-_CHUNK, _CHUNK_CHARS = 1500, 4_000_000  # texts, and about their characters, whose grammars are built together
+_CHUNK, _CHUNK_CHARS = 250, 600_000  # texts, and about their characters, whose grammars are built together
 
 
 def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
