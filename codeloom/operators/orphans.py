@@ -32,30 +32,32 @@ def validity(rows: DataFrame, key: str = "id", at: str = "indexed_at", deleted:
     )
 
 
-def orphan_references(references: DataFrame, parents: DataFrame, plan: LoadPlan) -> DataFrame:
-    """The references whose parent is missing, gone or late, with ``reason``.
+def judged_references(references: DataFrame, parents: DataFrame, plan: LoadPlan) -> DataFrame:
+    """The references with ``reason``: missing, deleted, late, or null for a good one.
 
     ``references`` has ``missing_id`` (the id referred to) and ``referred_at``
     beside any other columns, ``parents`` comes from `validity`. A null id is
     no reference. A null time of a reference is never before its parent. Every
-    reference row gives at most one row; repeats stay repeats. A column
-    ``reason`` that the references have is replaced.
+    reference row gives one row; repeats stay repeats. A column ``reason`` that
+    the references have is replaced.
     """
     interval = parents.select("missing_id", F.lit(True).alias("__there"), F.col("gone").alias("__gone"), F.col("known_since").alias("__since"))
     found = balanced_join(references.filter(F.col("missing_id").isNotNull()), interval, "missing_id", plan, "left")
     reason = F.when(F.col("__there").isNull(), "missing").when(F.col("__gone"), "deleted").when(F.col("__since") > F.col("referred_at"), "late")
-    return found.withColumn("reason", reason).filter(F.col("reason").isNotNull()).drop("__there", "__gone", "__since")
+    return found.withColumn("reason", reason).drop("__there", "__gone", "__since")
+
+
+def orphan_references(references: DataFrame, parents: DataFrame, plan: LoadPlan) -> DataFrame:
+    """The references whose parent is missing, gone or late, as `judged_references` has them."""
+    return judged_references(references, parents, plan).filter(F.col("reason").isNotNull())
 
 
-def orphan_counts(orphans: DataFrame, references: DataFrame, group: str = "field_name", at: str = "referred_at") -> DataFrame:
-    """References and orphans by ``group``, month of the referring row and reason, every month with references once.
+def orphan_counts(judged: DataFrame, group: str = "field_name", at: str = "referred_at") -> DataFrame:
+    """References and orphans by ``group`` and month of the referring row, every month with references once.
 
-    Columns ``group``, ``month`` (text, null for rows without a time),
-    ``n_references`` and one count for each reason.
+    ``judged`` comes from `judged_references`. Columns ``group``, ``month``
+    (text, null for rows without a time), ``n_references`` and one count for
+    each reason.
     """
     month = F.date_format(at, "yyyy-MM").alias("month")
-    every = references.groupBy(group, month).agg(F.count(F.lit(1)).alias("n_references"))
-    bad = orphans.groupBy(group, month).agg(*[F.count(F.when(F.col("reason") == r, 1)).alias(f"n_{r}") for r in REASONS])
-    bad = bad.select(F.col(group).alias("_g"), F.col("month").alias("_m"), *[f"n_{r}" for r in REASONS])
-    joined = every.join(bad, (F.col(group) == F.col("_g")) & F.col("month").eqNullSafe(F.col("_m")), "left")
-    return joined.select(group, "month", "n_references", *[F.coalesce(f"n_{r}", F.lit(0)).alias(f"n_{r}") for r in REASONS])
+    return judged.groupBy(group, month).agg(F.count(F.lit(1)).alias("n_references"), *[F.count(F.when(F.col("reason") == r, 1)).alias(f"n_{r}") for r in REASONS])

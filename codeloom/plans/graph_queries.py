@@ -304,7 +304,7 @@ def containment_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = graph_edges(spark, sf_dir, []).filter("type = 'contains'").groupBy(F.col("target").alias("id")).agg(F.min("source").alias("_s"))
     links = nodes.join(first, "id", "left").select("id", F.coalesce("parent_id", "_s").alias("parent_id"))
     plan = load_plans(table(spark, sf_dir, "nodes").select("parent_id"), ["parent_id"])["parent_id"]
-    return hierarchy(links, plan).select("id", "depth", (F.col("state") == "tree").alias("in_tree"))
+    return hierarchy(links, plan, paths=False).select("id", "depth", (F.col("state") == "tree").alias("in_tree"))
 
 
 @query(f"""with {_N} select n.id, n.name, count(*) filter (sym.type = 'fires_hook') as n_fires, count(*) filter (sym.type = 'listens_hook') as n_listens, count(*) filter (sym.type = 'dispatches') as n_dispatches

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses ``spark.checkpoint.dir``; sets a folder only where the session names none, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    """Sees to it that a folder for checkpoints is set: ``spark.checkpoint.dir``, or the one set on the context.
+
+    Without one a local session gets a new folder of its own, as in tests; on a
+    cluster that is an error, as executors would write to folders that the
+    others can't read.
+    """
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
         return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -22,7 +29,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_round(df: DataFrame) -> DataFrame:
-    """``cut`` for a loop of joins: also forgets the estimated size, which each round would multiply to a number without end."""
+    """``cut`` for a loop of joins: also forgets the estimated size and the constraints, which each round would multiply without end."""
     done = cut(df)
     session = df.sparkSession
     rows = session._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False)

@@ -5,40 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators.balance import balanced_join, balanced_totals, frequent_values, load_plans
+from codeloom.operators.balance import balanced_join, balanced_totals, frequent_values, keyed_rows, load_plans
 from codeloom.operators.hierarchy import descendants, hierarchy, rings
-from codeloom.operators.orphans import orphan_counts, orphan_references, validity
+from codeloom.operators.orphans import judged_references, orphan_counts, validity
 from codeloom.sources.tables import current_rows, table
 
 LEAST_SHARE = 0.02
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stored row of edges by target and by type, and of nodes by hierarchy level."""
     edges, nodes = (table(spark, sf_dir, t) for t in ("edges", "nodes"))
-    plans = load_plans(edges, ["target", "type"])
-    plans["hierarchy_level"] = load_plans(nodes, ["hierarchy_level"])["hierarchy_level"]
-    parts = [
-        frequent_values(df, column, LEAST_SHARE, plans[column]).select(F.lit(f"{name}.{column}").alias("field_name"), "key_value")
-        for df, name, column in ((edges, "edges", "target"), (edges, "edges", "type"), (nodes, "nodes", "hierarchy_level"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    of_edges = keyed_rows(edges, ["target", "type"], "edges", {"weight": F.col("weight")})
+    return of_edges.unionByName(keyed_rows(nodes, ["hierarchy_level"], "nodes", {"weight": F.lit(None).cast("double")}))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _fields(spark, sf_dir)
+    return frequent_values(rows, LEAST_SHARE, load_plans(rows, ["field_key"])["field_key"]).select("field_name", "key_value")
 
 
 def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and weight of every target and every type, rows of every hierarchy level."""
-    edges, nodes = (table(spark, sf_dir, t) for t in ("edges", "nodes"))
-    plans = load_plans(edges, ["target", "type"])
-    level = load_plans(nodes, ["hierarchy_level"])["hierarchy_level"]
-    parts = [
-        balanced_totals(edges, c, {"weight": F.col("weight")}, plans[c]).select(
-            F.lit(f"edges.{c}").alias("field_name"), F.col(c).alias("key_value"), "n_rows", F.round("weight", 4).alias("sum_weight")
-        )
-        for c in ("target", "type")
-    ]
-    levels = balanced_totals(nodes, "hierarchy_level", {}, level).select(
-        F.lit("nodes.hierarchy_level").alias("field_name"), F.col("hierarchy_level").alias("key_value"), "n_rows", F.lit(None).cast("double").alias("sum_weight")
-    )
-    return parts[0].unionByName(parts[1]).unionByName(levels)
+    rows = _fields(spark, sf_dir)
+    totals = balanced_totals(rows, "field_key", {"sum_weight": F.col("weight")}, load_plans(rows, ["field_key"])["field_key"], ["field_name", "key_value"])
+    return totals.select("field_name", "key_value", "n_rows", F.round("sum_weight", 4).alias("sum_weight"))
 
 
 def p1_target_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +48,11 @@ def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parent_plan(spark: SparkSession, sf_dir: str):
-    return load_plans(table(spark, sf_dir, "nodes").select("parent_id"), ["parent_id"])["parent_id"]
+    return load_plans(table(spark, sf_dir, "nodes").select("parent_id"), ["parent_id"], row_bytes=96)["parent_id"]
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rings(_links(spark, sf_dir), _parent_plan(spark, sf_dir))
+    return rings(_links(spark, sf_dir))
 
 
 def p3_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,21 +91,21 @@ def _with_row_keys(orphans: DataFrame) -> DataFrame:
     return orphans.select("field_name", row.alias("row_key"), "missing_id", "reason")
 
 
-def _orphans(spark: SparkSession, sf_dir: str, references: DataFrame) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reference with its reason, null for a good one. The loads are those of all stored references, repeats counted."""
     columns = ["id", "indexed_at", "is_deleted"]
     parents = table(spark, sf_dir, "nodes").select(*columns).unionByName(table(spark, sf_dir, "shared_nodes").select(*columns))
-    edges = table(spark, sf_dir, "edges")
-    loads = edges.select(F.col("target").alias("missing_id")).unionByName(edges.select(F.col("source").alias("missing_id")))
-    return orphan_references(references, validity(parents), load_plans(loads, ["missing_id"])["missing_id"])
+    ends = table(spark, sf_dir, "edges").select(F.explode(F.array("target", "source")).alias("missing_id"))
+    loads = ends.unionByName(table(spark, sf_dir, "nodes").select(F.col("parent_id").alias("missing_id")))
+    return judged_references(_references(spark, sf_dir), validity(parents), load_plans(loads, ["missing_id"], row_bytes=96)["missing_id"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_row_keys(_orphans(spark, sf_dir, _references(spark, sf_dir)))
+    return _with_row_keys(_judged(spark, sf_dir).filter("reason is not null"))
 
 
 def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    references = _references(spark, sf_dir).select("field_name", "missing_id", "referred_at")
-    return orphan_counts(_orphans(spark, sf_dir, references), references)
+    return orphan_counts(_judged(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_totals, p1_target_kinds, p3_found, p3_hierarchy, p3_descendants, p6_found, p6_counts)}

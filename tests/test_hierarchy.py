@@ -2,6 +2,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from codeloom.operators import hierarchy as H
 from codeloom.operators.balance import LoadPlan
 from codeloom.operators.hierarchy import descendants, hierarchy, rings
 
@@ -31,8 +34,10 @@ def brute(links):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,direct", [(1, 1_000), (2, 1_000), (3, 0)])
+def test_against_brute_force(spark, monkeypatch, seed, direct):
+    monkeypatch.setattr(H, "DIRECT", direct)
+    monkeypatch.setattr(H, "PLANNED", 50 if seed == 2 else 1_000_000)
     rng = random.Random(seed)
     ids = [f"n{i}" for i in range(160)]
     links = []
@@ -51,7 +56,7 @@ def test_against_brute_force(spark, seed):
             assert r["path"] == path and r["depth"] == len(path) - 1 and r["root"] == path[0]
         else:
             assert r["path"] is None and r["root"] is None and r["depth"] is None
-    assert {(r["id"], r["cycle_id"]) for r in rings(df, PLAN).collect()} == {(i, p) for i, (s, p) in want.items() if s == "ring"}
+    assert {(r["id"], r["cycle_id"]) for r in rings(df).collect()} == {(i, p) for i, (s, p) in want.items() if s == "ring"}
     pairs = {(r["id"], r["descendant"], r["distance"]) for r in descendants(hierarchy(df, PLAN)).collect()}
     assert pairs == {(a, i, len(p) - 1 - k) for i, (s, p) in want.items() if s == "tree" for k, a in enumerate(p[:-1])}
 
@@ -62,8 +67,27 @@ def test_long_chain_and_wide_root(spark):
     assert got["x299"] == 300 and got["leaf3"] == 1 and got["r"] == 0
 
 
+def deep(spark, n):
+    """A chain of ``n``, a circle of 500, and a hub with ``n`` children and grandchildren that hangs on the chain."""
+    chain = spark.range(n).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") - 1)).alias("parent_id"))
+    circle = spark.range(500).select(F.concat(F.lit("r"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("id"), F.concat(F.lit("r"), F.lpad(((F.col("id") + 1) % 500).cast("string"), 4, "0")).alias("parent_id"))
+    hub = spark.range(n).select(F.concat(F.lit("h"), "id").alias("id"), F.when(F.col("id") % 2 == 0, "hub").otherwise(F.concat(F.lit("h"), F.col("id") - 1)).alias("parent_id"))
+    return chain.unionByName(circle).unionByName(hub).unionByName(spark.createDataFrame([("hub", "c7")], "id string, parent_id string"))
+
+
+def test_rings_beside_a_chain_of_100000_and_a_hub_of_half_the_nodes(spark):
+    found = rings(deep(spark, 100_000)).agg(F.count("id").alias("n"), F.count_distinct("id").alias("d"), F.min("cycle_id").alias("a"), F.max("cycle_id").alias("b")).first()
+    assert tuple(found) == (500, 500, "r0000", "r0000")
+
+
+def test_depths_of_a_long_chain(spark):
+    n = 10_000
+    got = {r["k"]: (r["n"], r["low"], r["high"]) for r in hierarchy(deep(spark, n), PLAN, paths=False).groupBy(F.substring("id", 1, 1).alias("k")).agg(F.count("depth").alias("n"), F.min("depth").alias("low"), F.max("depth").alias("high")).collect()}
+    assert got == {"c": (n, 0, n - 1), "r": (0, None, None), "h": (n + 1, 8, 10)}
+
+
 def test_empty_and_extra_columns(spark):
     empty = spark.createDataFrame([], "id string, parent_id string, seg string, state int, at string")
-    assert hierarchy(empty, PLAN).count() == 0 and rings(empty, PLAN).count() == 0
+    assert hierarchy(empty, PLAN).count() == 0 and rings(empty).count() == 0
     one = spark.createDataFrame([("a", "b", "s", 1, "t"), ("b", "a", "s", 1, "t")], empty.schema)
-    assert {tuple(r) for r in rings(one, PLAN).collect()} == {("a", "a"), ("b", "a")}
+    assert {tuple(r) for r in rings(one).collect()} == {("a", "a"), ("b", "a")}

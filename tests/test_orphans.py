@@ -1,7 +1,7 @@
 from datetime import datetime
 
 from codeloom.operators.balance import LoadPlan, load_plans
-from codeloom.operators.orphans import orphan_counts, orphan_references, validity
+from codeloom.operators.orphans import judged_references, orphan_counts, orphan_references, validity
 
 D = lambda d: datetime(2024, 1, d)
 PARENTS = [
@@ -36,8 +36,8 @@ def test_hot_missing_key_is_split_without_loss(spark):
 
 def test_counts_and_empty(spark):
     parents, refs = frames(spark)
-    found = orphan_references(refs, validity(parents), LoadPlan(2, {}))
-    rows = {r["month"]: r for r in orphan_counts(found, refs).collect()}
+    found = judged_references(refs, validity(parents), LoadPlan(2, {}))
+    rows = {r["month"]: r for r in orphan_counts(found).collect()}
     assert rows["2024-01"]["n_missing"] == 2 and rows["2024-01"]["n_deleted"] == 3 and rows["2024-01"]["n_late"] == 1 and rows["2024-01"]["n_references"] == 11
     assert rows[None]["n_references"] == 1 and rows[None]["n_late"] == 0
     assert orphan_references(refs.limit(0), validity(parents), LoadPlan(2, {})).count() == 0
