@@ -18,7 +18,7 @@ def _any(words: str) -> str:
     return " | ".join(f"'{w}'" for w in words.split())
 
 
-_BINARY = "'+' | '-' | '*' | '/' | '%' | '**' | '&' | 'BAR' | '^' | '<' | '>' | '>=' | '<=' | '<<' | '==' | '!=' | '===' | '!==' | '&&' | '||' | '??' | 'in' | 'instanceof' | '>' '>' | '>' '>' '>'"
+_BINARY = "'+' | '-' | '*' | '/' | '%' | '**' | '&' | 'BAR' | '^' | '<' | '>' | '>=' | '<=' | '<<' | '==' | '!=' | '===' | '!==' | 'in' | 'instanceof' | '>' '>' | '>' '>' '>'"
 
 
 def ecmascript(ts: bool) -> str:
@@ -39,22 +39,23 @@ def ecmascript(ts: bool) -> str:
         "ImportSpec = ImportTypeWord? (Word 'as' Ident | Ident | 'STR' 'as' Ident)",
         "ExportSpec = ImportTypeWord? (Word | 'STR') ('as' (Word | 'STR'))?",
         "Export = 'export' ExportRest | Decorators 'export' ('default')? Class",
-        "ExportRest = VarDecl End | Func | Decorators? Class | 'default' (Func | FuncAnon | Decorators? Class | AssignS End) | ImportTypeWord? '*' ('as' (Word | 'STR'))? 'from' 'STR' With? End | ImportTypeWord? '{' (ExportSpec (',' ExportSpec)* ','?)? '}' ('from' 'STR' With?)? End" + (" | TsDecl | '=' Assign End | 'as' 'namespace' Ident End | 'import' Ident '=' EntityOrRequire End | 'default' Interface" if ts else ""),
+        "ExportRest = VarDecl End | Func | Decorators? Class | 'default' (Func | FuncAnon | Decorators? AnyClass | AssignS End) | ImportTypeWord? '*' ('as' (Word | 'STR'))? 'from' 'STR' With? End | ImportTypeWord? '{' (ExportSpec (',' ExportSpec)* ','?)? '}' ('from' 'STR' With?)? End" + (" | TsDecl | '=' Assign End | 'as' 'namespace' Ident End | 'import' Ident '=' EntityOrRequire End | 'default' Interface" if ts else ""),
         "Stmt = Block | ';' | VarDecl End | Func | Class | If | For | While | Do | Jump | Try | Switch | Label | ExprS End | 'debugger' End | Decorators Class" + (" | TsDecl" if ts else ""),
         "Label = Ident ':' Stmt",
         "If = 'if' '(' Expr ')' Stmt ('else' Stmt)?",
         "While = 'while' '(' Expr ')' Stmt",
         "Do = 'do' Stmt 'while' '(' Expr ')' End?",
         "For = 'for' 'await'? '(' ForHead ')' Stmt",
-        "ForHead = VarKind Target ('of' Assign | 'in' Expr) | (VarDecl | Expr)? ';' Expr? ';' Expr? | (Lhs | Array | Object) ('of' Assign | 'in' Expr)",
+        "ForHead = VarKind Target ('of' Assign | 'in' Expr) | (VarDecl | Expr)? ';' Expr? ';' Expr? | (Lhs | Array | ObjectTo) ('of' Assign | 'in' Expr)",
         "Jump = 'return' Expr? End | 'break' Ident? End | 'continue' Ident? End | 'throw' Expr End",
         "Try = 'try' Block (Catch Finally? | Finally)",
         "Catch = 'catch' ('(' Target ')')? Block",
         "Finally = 'finally' Block",
         "Switch = 'switch' '(' Expr ')' '{' ('case' Expr ':' Stmt* | 'default' ':' Stmt*)* '}'",
         "VarKind = 'var' | 'let' | 'const'",
-        "VarDecl = VarKind VarOne (',' VarOne)*",
-        "VarOne = Target ('=' Assign)?",
+        "VarDecl = ('var' | 'let') VarOne (',' VarOne)* | 'const' ConstOne (',' ConstOne)*",
+        "VarOne = Ident" + (" 'BANG'?" if ts else "") + " Annot? ('=' Assign)? | Pattern Annot? '=' Assign",
+        "ConstOne = Target '=' Assign",
         "Target = (Ident | Pattern) Annot?",
         "Pattern = ObjPattern | ArrPattern",
         "ObjPattern = '{' (ObjPatItem (',' ObjPatItem)* (',' ObjPatRest?)? | ObjPatRest)? '}'",
@@ -67,32 +68,41 @@ def ecmascript(ts: bool) -> str:
         "Func = 'async'? 'function' '*'? Ident TypeParams? Params Ret? Body",
         "FuncAnon = 'async'? 'function' '*'? TypeParams? Params Ret? Block",
         "FuncExpr = 'async'? 'function' '*'? Ident? TypeParams? Params Ret? Block",
-        "ClassHead = 'class' Ident? TypeParams? ('extends' Heritage)? Implements? '{' Member* '}'",
+        "ClassHead = 'class' Ident? ClassTail",
+        "ClassNamed = 'class' Ident ClassTail",
+        "ClassTail = TypeParams? ('extends' Heritage)? Implements? '{' Member* '}'",
         "Heritage = Chain" + (" TypeArgs?" if ts else ""),
         "Method = ('async'? '*'? | 'get' | 'set') MethodName Optional? TypeParams? Params Ret? Body",
         "MethodName = PropName | 'PRIV'",
         "Field = MethodName FieldMark? Annot? ('=' Assign)? End",
         "Args = '(' ((Assign | '...' Assign) (',' (Assign | '...' Assign))* ','?)? ')'",
-        "Array = '[' ','* ((Assign | '...' Assign) (',' (Assign | '...' Assign)?)*)? ']'",
+        "Array = '[' ','* ((To | '...' To) (',' (To | '...' To)?)*)? ']'",
         "Object = '{' (ObjItem (',' ObjItem)* ','?)? '}'",
-        "ObjItem = Ident ('=' Assign)? | PropName ':' Assign | ('async'? '*'? | 'get' | 'set') PropName TypeParams? Params Ret? Block | '...' Assign",
+        "ObjItem = Ident | PropName ':' Assign | ('async'? '*'? | 'get' | 'set') PropName TypeParams? Params Ret? Block | '...' Assign",
+        # What stands left of an equals sign may have values by default; an array's objects may anywhere.
+        "ObjectTo = '{' (ToItem (',' ToItem)* ','?)? '}'",
+        "ToItem = Ident ('=' Assign)? | PropName ':' To | '...' To",
+        "To = Assign | ObjectTo",
         "Template = 'TPL' | 'TPLHEAD' Expr ('TPLMID' Expr)* 'TPLTAIL'",
         "Suffix = '.' (Word | 'PRIV') | '?.' (Word | 'PRIV' | '[' Expr ']' | Args) | '[' Expr ']' | Args | Template" + (" | 'BANG' | TypeArgs (Args | Template)" if ts else ""),
         "Member2 = '.' (Word | 'PRIV') | '[' Expr ']'",
         f"Binary = {_BINARY}",
+        "Logic = Binary | '&&' | 'OROR'".replace("'OROR'", "'||'"),
+        "Nullish = Binary | '??'",
         "AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '>' '>' '>=' | '&&=' | '||=' | '??='",
-        "UnOp = '!' | '-' | '+' | '~' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--'" + (" | '<' Type '>'" if ts else ""),
+        "UnOp = '!' | '-' | '+' | '~' | 'typeof' | 'void' | 'delete' | 'await' | '++' | '--'" + (" | '<' (Type | 'const') '>'" if ts else ""),
         "Arrow = 'async'? (Ident | TypeParams? Params Ret?) '=>' (Block | AssignB)",
         "Yield = 'yield' ('*' Assign | Assign)?",
         "Expr = Assign (',' Assign)*",
         "ExprS = AssignS (',' Assign)*",
-        "Rest = " + ("(Binary Unary | ('as' | 'satisfies') Type)* ('?' Assign ':' Assign)?" if ts else "(Binary Unary)* ('?' Assign ':' Assign)?"),
+        "Rest = " + ("((Logic Unary | As)* | (Nullish Unary | As)*) ('?' Assign ':' Assign)?" if ts else "((Logic Unary)* | (Nullish Unary)*) ('?' Assign ':' Assign)?"),
         "Lit = 'NUM' | 'STR' | 'REGEX' | 'true' | 'false' | 'null' | 'this' | 'super' | 'import' '.' Word | 'import' Args | 'new' '.' Word | 'PRIV' 'in' Unary",
         "Paren = '(' Expr ')'",
     ]
     if ts:
         rules += [
             "ImportTypeWord = 'type'",
+            "As = ('as' | 'satisfies') (Type | 'const')",
             "Annot = ':' Type",
             "Optional = '?'",
             "FieldMark = '?' | 'BANG'",
@@ -100,7 +110,8 @@ def ecmascript(ts: bool) -> str:
             "Body = Block | End",
             "Decorators = ('@' Chain)+",
             "Param = Decorators? ('public' | 'private' | 'protected' | 'readonly' | 'override')* ('...' Target | (Ident | Pattern | 'this') '?'? Annot? ('=' Assign)?)",
-            "Class = 'abstract'? ClassHead | 'declare' 'abstract'? ClassHead",
+            "Class = 'declare'? 'abstract'? ClassNamed",
+            "AnyClass = 'abstract'? ClassHead",
             "Implements = 'implements' Type (',' Type)*",
             "Modifier = 'public' | 'private' | 'protected' | 'static' | 'abstract' | 'override' | 'readonly' | 'declare' | 'accessor'",
             "Member = ';' | Decorators? Modifier* (Method | Field) | 'static' Block | Modifier* IndexSig End",
@@ -122,8 +133,11 @@ def ecmascript(ts: bool) -> str:
             "IndexSig = 'readonly'? '[' Ident ':' Type ']' ':' Type",
             "Mapped = '{' (('+' | '-')? 'readonly')? '[' Ident 'in' Type ('as' Type)? ']' (('+' | '-')? '?')? Annot? (';' | ',' | 'ASI')? '}'",
             "Interface = 'interface' Ident TypeParams? ('extends' Type (',' Type)*)? ObjType",
-            "TsDecl = 'declare'? (Interface | 'type' Ident TypeParams? '=' Type End | 'const'? 'enum' Ident '{' (EnumItem (',' EnumItem)* ','?)? '}') | 'declare' (VarDecl End | Func | 'global' Block | 'module' 'STR' (NsBody | End)) | 'declare'? ('namespace' | 'module') Ident ('.' Ident)* NsBody | 'import' Ident '=' EntityOrRequire End",
+            "TsDecl = 'declare'? (Interface | 'type' Ident TypeParams? '=' Type End | 'const'? 'enum' Ident '{' (EnumItem (',' EnumItem)* ','?)? '}') | 'declare' (Ambient | Func | 'global' AmbientBody | 'module' 'STR' (AmbientBody | End) | ('namespace' | 'module') Ident ('.' Ident)* AmbientBody) | ('namespace' | 'module') Ident ('.' Ident)* NsBody | 'import' Ident '=' EntityOrRequire End",
             "NsBody = '{' Item* '}'",
+            "AmbientBody = '{' (Item | 'export'? Ambient | 'export'? ('namespace' | 'module') Ident ('.' Ident)* AmbientBody)* '}'",
+            "Ambient = VarKind AmbientOne (',' AmbientOne)* End",
+            "AmbientOne = Target ('=' Assign)?",
             "EntityOrRequire = 'require' '(' 'STR' ')' | Ident ('.' Word)*",
             "EnumItem = (Word | 'STR') ('=' Assign)?",
         ]
@@ -131,7 +145,7 @@ def ecmascript(ts: bool) -> str:
         never = "'NEVER'"
         rules += [
             f"ImportTypeWord = {never}", f"Annot = {never}", f"Optional = {never}", f"FieldMark = {never}", f"Ret = {never}", "Body = Block", f"Decorators = {never}",
-            "Param = '...' Target | Target ('=' Assign)?", "Class = ClassHead", f"Implements = {never}", "Member = ';' | 'static'? (Method | Field) | 'static' Block", f"TypeParams = {never}",
+            "Param = '...' Target | Target ('=' Assign)?", "Class = ClassNamed", "AnyClass = ClassHead", f"Implements = {never}", "Member = ';' | 'static'? (Method | Field) | 'static' Block", f"TypeParams = {never}",
         ]
     bang = " 'BANG'?" if ts else ""
     # Variants by what an expression may begin with: anything, no brace (B), neither brace nor function nor class (S).
@@ -143,7 +157,7 @@ def ecmascript(ts: bool) -> str:
             f"Post{v} = Chain{v} ('++' | '--')?",
             f"Unary{v} = Post{v} | UnOp+ Post",
             f"Lhs{v} = Ident{bang} | Base{v} Suffix* Member2{bang}",
-            f"Assign{v} = Unary{v} Rest | Lhs{v} AssignOp Assign | " + ("(Array | Object)" if v == "" else "Array") + " '=' Assign | Arrow | Yield",
+            f"Assign{v} = Unary{v} Rest | Lhs{v} AssignOp Assign | " + ("(Array | ObjectTo)" if v == "" else "Array") + " '=' Assign | Arrow | Yield",
         ]
     return "\n".join(rules)
 
@@ -170,16 +184,23 @@ AugTarget = Name | '(' AugTarget ')' | Atom Trailer* ('.' Name | '[' Subs ']')
 Trailer = '.' Name | '[' Subs ']' | '(' Args? ')'
 Subs = Sub (',' Sub)* ','?
 Sub = Named | '*' Or | Test? ':' Test? (':' Test?)?
-Args = Arg (',' Arg)* ','?
-Arg = Named CompFor? | Name '=' Test | '*' Test | '**' Test
+Args = Named CompFor | ArgList
+ArgList = (Named | '*' Test) (',' ArgList?)? | KeyArgs
+KeyArgs = Name '=' Test (',' (KeyArgs | '*' Test (',' AfterStar?)?)?)? | '**' Test (',' MapArgs?)?
+AfterStar = KeyArgs | '*' Test (',' AfterStar?)?
+MapArgs = (Name '=' Test | '**' Test) (',' MapArgs?)?
 Star = StarItem (',' StarItem)* ','?
 StarItem = Named0 | '*' Or
 Named0 = Test
 Named = (Name ':=')? Test
 Test = OrTest ('if' OrTest 'else' Test)? | Lambda
 Lambda = 'lambda' LambdaParams? ':' Test
-LambdaParams = LParam (',' LParam)* ','?
-LParam = Name ('=' Test)? | '*' Name? | '**' Name | '/'
+LambdaParams = Name (',' LRest?)? | LGiven | LStar
+LRest = LambdaParams | '/' (',' LRest?)?
+LGiven = Name '=' Test (',' (LGiven | '/' (',' (LGiven | LStar)?)? | LStar)?)?
+LStar = '*' Name (',' (LKey | LMap)?)? | '*' ',' LKey | LMap
+LKey = Name ('=' Test)? (',' (LKey | LMap)?)?
+LMap = '**' Name ','?
 OrTest = NotTest (('and' | 'or') NotTest)*
 NotTest = 'not'* Compare
 Compare = Or (CompOp Or)*
@@ -211,9 +232,14 @@ WithItem = Test ('as' Target)?
 Def = 'async'? 'def' Name TypeParams? '(' Params? ')' ('->' Test)? ':' Block
 TypeParams = '[' TypeParam (',' TypeParam)* ','? ']'
 TypeParam = ('*' | '**')? Name (':' Test)?
-Params = Param (',' Param)* ','?
-Param = Name (':' Test)? ('=' Test)? | '*' (Name (':' StarItem)?)? | '**' Name (':' Test)? | '/'
-Class = 'class' Name TypeParams? ('(' Args? ')')? ':' Block
+Params = Param (',' Rest?)? | Given | Star2
+Param = Name (':' Test)?
+Rest = Params | '/' (',' Rest?)?
+Given = Param '=' Test (',' (Given | '/' (',' (Given | Star2)?)? | Star2)?)?
+Star2 = '*' Name (':' StarItem)? (',' (Key | Map)?)? | '*' ',' Key | Map
+Key = Param ('=' Test)? (',' (Key | Map)?)?
+Map = '**' Param ','?
+Class = 'class' Name TypeParams? ('(' ArgList? ')')? ':' Block
 Match = 'match' Star ':' 'NEWLINE' 'INDENT' Case+ 'DEDENT'
 Case = 'case' Patterns ('if' Named)? ':' Block
 Patterns = StarPat (',' StarPat)* ','?
@@ -276,7 +302,7 @@ PropOne = 'VAR' ('=' Expr)?
 ConstOne = Word '=' Expr
 Args = '(' (ArgOne (',' ArgOne)* ','?)? ')'
 ArgOne = (Word ':')? Expr | '...' Expr?
-Expr = Unary (Binary Unary)* ('?' Expr? ':' Expr)? | Lvalue AssignOp Expr | Lvalue '=' '&' Expr | ArrayLit '=' Expr | Fn | 'yield' (Expr ('=>' Expr)?)? | 'yield' 'from' Expr | 'throw' Expr | 'print' Expr | ('include' | 'include_once' | 'require' | 'require_once') Expr
+Expr = Unary (Binary Unary)* (Binary (Expr2 | Fn | Lvalue AssignOp Expr))? ('?' Expr? ':' Expr)? | Lvalue AssignOp Expr | Lvalue '=' '&' Expr | ArrayLit '=' Expr | Fn | 'yield' (Expr ('=>' Expr)?)? | 'yield' 'from' Expr | 'throw' Expr | 'print' Expr | ('include' | 'include_once' | 'require' | 'require_once') Expr
 Binary = '+' | '-' | '*' | '/' | '%' | '**' | '.' | '<<' | '>>' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '===' | '!==' | '<>' | '<=>' | '&' | '|' | '^' | '&&' | '||' | '??' | 'and' | 'or' | 'xor' | 'instanceof'
 AssignOp = '=' | '+=' | '-=' | '*=' | '/=' | '.=' | '%=' | '**=' | '&=' | '|=' | '^=' | '<<=' | '>>=' | '??='
 UnOp = '!' | '-' | '+' | '~' | '@' | '&' | 'CAST' | '++' | '--' | 'clone' | 'new'

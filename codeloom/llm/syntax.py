@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from functools import lru_cache
 
 from codeloom.llm import grammars as G
@@ -28,7 +26,7 @@ def grammar(lang: str) -> Grammar:
 
 _ES = re.compile(
     r"(?:[\s\ufeff]+|//[^\n\r\u2028\u2029]*|/\*(?:[^*]|\*(?!/))*\*/)*"
-    r"(?:(?P<w>(?:[^\W\d]|\$)[\w$\u200c\u200d]*)"
+    r"(?:(?P<w>(?:[^\W\d]|\$|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})(?:[\w$\u200c\u200d]|\\u[\da-fA-F]{4}|\\u\{[\da-fA-F]+\})*)"
     r"|(?P<o>\{)|(?P<c>\})"
     r"|(?P<s>'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\")"
     r"|(?P<n>0[xX][\da-fA-F](?:_?[\da-fA-F])*n?(?![\w$])|0[bB][01](?:_?[01])*n?(?![\w$])|0[oO][0-7](?:_?[0-7])*n?(?![\w$])|(?:(?:0|[1-9](?:_?\d)*)n|(?:(?:0|[1-9](?:_?\d)*)(?:\.(?:\d(?:_?\d)*)?)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d+)?)(?![\w$]))"
@@ -386,17 +384,9 @@ def failure(text: str | None, lang: str | None) -> Failure:
     ``("token", offset)`` is the first token that can't stand where it does,
     ``("truncated", offset)`` a text that ends before it is complete. A null
     text or unknown language has nothing to parse. An empty text, blanks or
-    comments alone parse. For Python the standard parser confirms a failure.
+    comments alone parse.
     """
     if text is None or lang is None:
         return None
     found = _parse_es(text, lang) if lang in ("javascript", "typescript") else _parse_tokens(text, lang)
-    if found and lang == "python":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore")
-                ast.parse(text, feature_version=(3, 12))
-            return None
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return found
     return found

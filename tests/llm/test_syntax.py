@@ -125,3 +125,21 @@ def test_deep_nesting():
 def test_language_of():
     assert [language_of(p) for p in ("a.ts", "a/b.mjs", "x.py", "y.d.php", "no", None, "a.css", "")] == ["typescript", "javascript", "python", "php", None, None, None, None]
     assert failure(None, "python") is None and failure("(", None) is None
+
+
+# Texts beside the limits of the grammars: what may not stand there, and what may.
+BESIDE_BAD = [("javascript", x) for x in ("const x;", "const {a};", "let [a];", "({a = 1})", "class { }", "a ?? b || c", "a && b ?? c", "f({a = 1})")]+ [("python", x) for x in ("f(a=1, 2)\n", "def f(a=1, b): pass\n", "lambda *: 1\n", "class A(x for x in y): pass\n", "def f(*): pass\n", "def f(**k, a): pass\n", "f(**a, *b)\n", "f(**a, b)\n", "def f(/, a): pass\n")]+[('typescript', "const x: number;")]
+BESIDE_GOOD = [("javascript", x) for x in ("({a = 1} = x)", "[{a = 1}, b.c = 2] = x", "for (const x of y);", "for ({a = 1} of b);", "(a ?? b) || c", "a ?? b ?? c", "export default class { }", "x = class { }", "a ?? (b && c)", "({a = 1}) => a", "async ({a = 1}, [b = 2]) => a", "let a, b = 2; var c", "\\u0061bc = 1", "[a, ...b] = c", "[...[a, b]] = c; ({...a.b} = c); ({a: b.c = 1, [d]: [e]} = f)", "a ? b ?? c : d || e", "a || b && c | d", "x = {a, b, c: {d}}", "[a[0], b.c] = d; [a.b] = [1]")]
+BESIDE_GOOD += [("typescript", x) for x in ("<const>['a']", "declare const x: number;", "declare namespace A { const b: number; export let c: string }", "let x!: number;", "export abstract class A {}", "export default abstract class {}", "x = y as const", "a ?? b as any", "declare module 'm' { const q: 1 }", "const f = <T>(x: T) => x ?? 1")]
+BESIDE_GOOD += [("python", x) for x in ("f(a, *b, c=1, *d, **e, f=2)\n", "f(*a, b, c=1)\n", "f(x for x in y)\n", "def f(a, b=1, /, c=2, *d, e, f=3, **g): pass\n", "def f(a, /, b, *, c): pass\n", "def f(*a): pass\n", "def f(**k,): pass\n", "lambda a, b=1, /, *c, d=1, **e: 1\n", "lambda: 1\n", "class A(B, metaclass=C, **k): pass\n", "f(a, b,)\nf(a=1,)\n", "f((x for x in y), 1)\n", "print(*a, sep='')\n", "def f(a, b,): pass\n", "f(**a, b=1, **c)\n", "f(a := 1)\n", "lambda *, a: a\n", "lambda *a, b: a\n")]
+BESIDE_GOOD += [("php", x) for x in ("<?php $a ?? throw new E();", "<?php $a = $b ?? throw new E('x');", "<?php $a and print 'x';", "<?php f() or die('x');", "<?php $a = $b && $c = 5;")]
+
+
+@pytest.mark.parametrize("lang,text", BESIDE_BAD)
+def test_beside_the_grammar(lang, text):
+    assert failure(text, lang) is not None
+
+
+@pytest.mark.parametrize("lang,text", BESIDE_GOOD)
+def test_inside_the_grammar(lang, text):
+    assert failure(text, lang) is None
