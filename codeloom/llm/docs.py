@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from codeloom.llm.gll import parse
 from codeloom.llm.sources import current_results, spread
 from codeloom.llm.syntax import language_of
 from codeloom.operators.balance import balanced_join, load_plans
+from codeloom.plans.lineage import cut
 
 LEAST_WORDS = 5
 
@@ -97,7 +99,13 @@ _PY_TOKEN = re.compile(
     rf"(?P<BLANK>(?<![^\n\r])[ \t\f]*(?:\r\n|\n|\r))|(?P<HASH>(?<![^\n\r])[ \t\f]*#[^\n\r]*(?:\r\n|\n|\r|\Z))|[ \t\f]*(?:(?P<C>#[^\n\r]*)|(?P<NL>\r\n|\n|\r)|(?P<J>\\(?:\r\n|\n|\r))|(?P<STR>{_PY_STR})|(?P<NAME>\w+)|(?P<P>->|[(){{}}\[\]=:,.@])|(?P<BAR>\|)|(?P<W>\S)|(?P<END>\Z))"
 )
 
-Found = tuple[int, str, str]  # line of the function (from 1), its name, its documentation as written
+Found = tuple[int, str, str, int, int]  # line of the function (from 1), its name, its documentation as written, where it begins and where its head ends
+
+# To find a body's end: what may hide brackets is read as a whole.
+_BODY = {
+    "es": re.compile(rf"{_BLOCK}|//[^\n\r]*|{_ES_STR}|{_ES_RE}|(?<=return)[ \t]*/(?![*/])(?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\])+/|(?P<open>[({{\[])|(?P<close>[)}}\]])|(?P<stop>[;,])|(?P<line>\n[ \t]*(?=[\w$@/}}]))"),
+    "php": re.compile(rf"{_BLOCK}|//[^\n\r]*|#(?!\[)[^\n\r]*|{_PHP_STR}|(?P<open>[({{\[])|(?P<close>[)}}\]])|(?P<stop>;)"),
+}
 
 
 def _line_of(text: str, at: int) -> int:
@@ -156,7 +164,7 @@ def _block_documented(text: str, family: str) -> Iterator[Found]:
                     if text[tokens[j][1]:tokens[j][2]] in ("export", "default"):
                         break
                     at = tokens[j][1]
-                yield _line_of(text, at), name, m.group("doc")
+                yield _line_of(text, at), name, m.group("doc"), at, tokens[max(ends) - 1][2]
                 break
 
 
@@ -226,7 +234,45 @@ def _python_documented(text: str) -> Iterator[Found]:
             s, e = max(spans["Doc"], key=lambda x: x[1])
             parts.append(text[tokens[s][1]:tokens[e - 1][2]])
         for part in parts:
-            yield _line_of(text, tokens[begin][1]), name, part
+            yield _line_of(text, tokens[begin][1]), name, part, tokens[begin][1], _block_end(text, tokens, closed, begin, max(ends))
+
+
+def _column(text: str, at: int) -> int:
+    return at - max(text.rfind("\n", 0, at), text.rfind("\r", 0, at))
+
+
+def _block_end(text: str, tokens: list[tuple[str, int, int]], closed: list[int], begin: int, head_end: int) -> int:
+    """Where a Python function ends: before the first line that is indented no deeper than it, outside all brackets."""
+    for j in range(head_end, len(tokens)):
+        kind, at, _ = tokens[j]
+        if kind not in ("NL", "HASH", "BLANK") and not closed[j] and tokens[j - 1][0] in ("NL", "HASH", "BLANK") and _column(text, at) <= _column(text, tokens[begin][1]):
+            last = j - 1
+            while tokens[last][0] in ("HASH", "BLANK"):
+                last -= 1
+            return tokens[last][2]
+    return len(text)
+
+
+def _body_end(text: str, family: str, at: int) -> int:
+    """Where a function whose head ends at ``at`` is closed: the matching brace, or the end of a bare arrow's expression."""
+    if text[at - 1] == ";":
+        return at
+    depth = 1 if text[at - 1] == "{" else 0
+    block = depth == 1
+    for m in _BODY[family].finditer(text, at):
+        kind = m.lastgroup
+        if kind == "open":
+            block = block or not text[at:m.start()].strip() and m[0] == "{"
+            depth += 1
+        elif kind == "close":
+            depth -= 1
+            if depth < 0:
+                return m.start()
+            if not depth and block:
+                return m.end()
+        elif not depth and not block and (kind == "stop" or kind == "line" and text[at:m.start()].strip()):
+            return m.start()
+    return len(text)
 
 
 def documented(text: str | None, path: str | None) -> list[Found]:
@@ -239,6 +285,14 @@ def documented(text: str | None, path: str | None) -> list[Found]:
     return list(_block_documented(text, "php" if lang == "php" else "es"))
 
 
+def function_code(text: str, path: str | None, begin: int, end: int) -> str:
+    """A documented function from its first line to its end; a text that stops before it gives what there is."""
+    lang = language_of(path)
+    if lang != "python":
+        end = _body_end(text, "php" if lang == "php" else "es", end)
+    return text[begin - _column(text, begin) + 1:end].rstrip()
+
+
 def description(doc: str) -> str:
     """Documentation without comment marks, quotes and lines that begin with a tag."""
     if doc.startswith("/*"):
@@ -260,31 +314,31 @@ def own_words(text: str, name: str) -> int:
     return sum(w.lower() not in parts for w in _WORD.findall(text))
 
 
-_FUNCTIONS = "array<struct<line: int, name: string, doc: string>>"
+_FUNCTIONS = "array<struct<line: int, name: string, doc: string, code: string>>"
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _extract(batches: Iterator[pd.DataFrame], code: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for path, repo, at, text in zip(batch.file_path, batch.repo_hash, batch.loaded_at, batch.source_text):
             found = []
-            for line, name, doc in documented(text if isinstance(text, str) else None, path if isinstance(path, str) else None):
+            for line, name, doc, begin, end in documented(text if isinstance(text, str) else None, path if isinstance(path, str) else None):
                 plain = description(doc)
                 if own_words(plain, name) >= LEAST_WORDS:
-                    found.append({"line": line, "name": name, "doc": plain})
+                    found.append({"line": line, "name": name, "doc": plain, "code": function_code(text, path, begin, end) if code else None})
             out.append((path, repo, at, found))
         yield pd.DataFrame(out, columns=["file_path", "repo_hash", "loaded_at", "functions"])
 
 
-def documented_functions(source_files: DataFrame) -> DataFrame:
-    """Functions of the current texts with non-trivial documentation: ``file_path``, ``repo_hash``, ``line``, ``name``, ``doc``.
+def documented_functions(source_files: DataFrame, code: bool = False) -> DataFrame:
+    """Functions of the current texts with non-trivial documentation: ``file_path``, ``repo_hash``, ``line``, ``name``, ``doc``, ``code`` (null unless asked for).
 
     Documentation is trivial with fewer than five words that aren't words of
     the name, tags set aside. Null and empty texts have no functions. A Python
     function with comment lines and a docstring gives a row for each.
     """
     rows = source_files.select("file_path", "repo_hash", "loaded_at", "source_text")
-    found = spread(rows, "file_path").mapInPandas(_extract, f"file_path string, repo_hash string, loaded_at timestamp_ntz, functions {_FUNCTIONS}")
+    found = spread(rows, "file_path").mapInPandas(partial(_extract, code=code), f"file_path string, repo_hash string, loaded_at timestamp_ntz, functions {_FUNCTIONS}")
     return current_results(found, ["repo_hash", "functions"]).select("file_path", "repo_hash", F.inline("functions"))
 
 
@@ -292,7 +346,7 @@ FUNCTION_KINDS = ("function_declaration", "method_definition", "function_definit
 
 
 def paired_nodes(nodes: DataFrame, functions: DataFrame) -> DataFrame:
-    """Function nodes with their documentation: ``id``, ``name``, ``kind``, ``file_path``, ``doc``.
+    """Function nodes with their documentation and code: ``id``, ``name``, ``kind``, ``file_path``, ``doc``, ``code``.
 
     ``nodes`` has ``id``, ``name``, ``kind``, ``file_path`` and ``line_start``;
     a missing line is taken from the id. Node and function must agree in file,
@@ -301,10 +355,10 @@ def paired_nodes(nodes: DataFrame, functions: DataFrame) -> DataFrame:
     """
     line = F.coalesce("line_start", F.regexp_extract("id", r":(\d+):\d+$", 1).try_cast("int"))
     kept = nodes.filter(F.lower(F.trim("kind")).isin(*FUNCTION_KINDS)).select("id", "name", "kind", "file_path", line.alias("line"))
-    other = functions.select(F.col("file_path").alias("_file"), F.col("line").alias("_line"), F.col("name").alias("_name"), "doc")
+    other = functions.select(F.col("file_path").alias("_file"), F.col("line").alias("_line"), F.col("name").alias("_name"), "doc", "code")
     same = (F.col("file_path") == F.col("_file")) & (F.col("line") == F.col("_line"))
     joined = kept.join(other, same).filter(F.col("name").isNull() | (F.col("name") == F.col("_name")))
-    return joined.groupBy("id", "kind", "file_path", F.coalesce("name", "_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("doc")), "\n").alias("doc"))
+    return joined.groupBy("id", "kind", "file_path", F.coalesce("name", "_name").alias("name")).agg(F.array_join(F.array_sort(F.collect_set("doc")), "\n").alias("doc"), F.max("code").alias("code"))
 
 
 def without_templates(pairs: DataFrame, most_repeats: int, most_share: float = 0.0) -> DataFrame:
@@ -312,13 +366,14 @@ def without_templates(pairs: DataFrame, most_repeats: int, most_share: float = 0
 
     The share alone decides once it is worth more than ``most_repeats`` pairs, so
     that ordinary descriptions stay however large the corpus is. The words of a function's name and all numbers count as blanks, so that a
-    filled-in template meets its like. Counts cover all pairs.
+    filled-in template meets its like. Counts cover all pairs. The pairs are cut
+    off before, so that no text is parsed again for them.
     """
     parts = F.regexp_extract_all("name", F.lit(r"([A-Z]?[a-z]+|[A-Z]+)"), F.lit(1))
     words = F.regexp_extract_all(F.lower("doc"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
     names = F.transform(parts, lambda x: F.lower(x))
     shape = F.transform(words, lambda w: F.when(F.array_contains(names, w) | w.rlike(r"^\d+$"), F.lit("_")).otherwise(w))
-    hashed = pairs.withColumn("_shape", F.xxhash64(F.array_join(shape, " ")))
+    hashed = cut(pairs.withColumn("_shape", F.xxhash64(F.array_join(shape, " "))))
     shapes = hashed.groupBy("_shape").agg(F.count(F.lit(1)).alias("_n"))
     limit = shapes.agg(F.greatest(F.lit(float(most_repeats)), F.lit(most_share) * F.sum("_n")).alias("_most"))
     counts = shapes.crossJoin(F.broadcast(limit)).filter(F.col("_n") > F.col("_most")).select("_shape")  # limit is one row

