@@ -13,7 +13,7 @@ def glob_regex(glob: str) -> str:
     out = ""
     for part in re.split(r"(\*\*/?|\*|\?)", glob):
         if part.startswith("**"):
-            out += "(?:.*/)?" if part.endswith("/") else ".*"
+            out += ".*" + part[2:]
         else:
             out += {"*": "[^/]*", "?": "[^/]"}.get(part, re.escape(part).replace("/", "/"))
     return f"^{out}$"
@@ -30,18 +30,18 @@ def in_scope(path: Column, scopes: list[str] = (), excludes: list[str] = (), all
 
 
 def ignored(path: Column, patterns: list[str]) -> Column:
-    """Ignore-file semantics: the last matching pattern decides, ``!`` takes back, a trailing ``/`` means a folder."""
+    """Ignore-file semantics: the last matching pattern decides, ``!`` takes back, a trailing ``/`` means a folder, a leading one the root."""
     out = F.lit(False)
     for line in patterns:
         line = line.strip()
         if not line or line.startswith("#"):
             continue
         negated = line.startswith("!")
-        body = line.lstrip("!")
+        body = line[1:] if negated else line
+        front = "^" if body.startswith("/") else "(?:^|/)"
         folder = body.endswith("/")
         body = body.strip("/")
         inner = glob_regex(body)[1:-1]
-        front = "^" if "/" in body else "(?:^|/)"
         regex = f"{front}{inner}{'/' if folder else '(?:/|$)'}"
         out = F.when(path.rlike(regex), F.lit(not negated)).otherwise(out)
     return out

@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.balance import LoadPlan, balanced_join
 from codeloom.operators.graph import components
 from codeloom.plans.lineage import cut_round
 
@@ -73,18 +74,20 @@ def type_weight(kind: Column) -> Column:
     return F.coalesce(pairs[kind], F.lit(1.0))
 
 
-def file_pair_weights(edges: DataFrame, files: DataFrame, areas: DataFrame) -> DataFrame:
+def file_pair_weights(edges: DataFrame, files: DataFrame, areas: DataFrame, loads: LoadPlan | None = None) -> DataFrame:
     """Affinity of file pairs: ``a`` < ``b``, ``weight``.
 
     ``files`` maps ``id`` to ``file_path``; edges inside a file and ``contains``
     are skipped. Consecutive files of an area (``areas``: ``file_path``,
     ``area``) get a weak affinity on top. Null weights count as 1.
+    ``loads`` is the load of ``target``, by which the hot ones are split.
     """
     s = files.select(F.col("id").alias("source"), F.col("file_path").alias("f"))
     t = files.select(F.col("id").alias("target"), F.col("file_path").alias("g"))
     strength = type_weight(F.col("type")) * (1 + F.log2(F.greatest(F.lit(1.0), F.coalesce("weight", F.lit(1.0)))))
-    linked = edges.filter("type <> 'contains'").join(s, "source").join(t, "target").filter("f <> g")
-    strong = linked.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), strength.alias("w"))
+    started = edges.filter("type <> 'contains'").select("source", "target", strength.alias("w")).join(s, "source").select("f", "target", "w")
+    linked = (balanced_join(started, t, "target", loads) if loads else started.join(t, "target")).filter("f <> g")
+    strong = linked.select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"), "w")
     order = Window.partitionBy("area").orderBy("file_path")
     weak = areas.select("area", "file_path").distinct().withColumn("a", F.lag("file_path").over(order)).filter("a is not null")
     near = weak.select("a", F.col("file_path").alias("b"), F.lit(AREA_AFFINITY).alias("w"))
@@ -156,6 +159,17 @@ def connected_parts(member: DataFrame, links: DataFrame) -> DataFrame:
     return member.select("id").join(components(inner), "id", "left").select("id", F.coalesce("component", "id").alias("community"))
 
 
+def community_pairs(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Edges between communities: ``cs``, ``ct``, ``n``; ``contains`` is left out.
+
+    ``sources`` maps ``source`` to ``cs``, ``targets`` maps ``target`` to ``ct``.
+    Edges are counted by the source's community and target before they go to
+    the target, so a hot target comes with a row for each community.
+    """
+    started = edges.filter("type <> 'contains'").select("source", "target").join(sources, "source").groupBy("cs", "target").agg(F.count(F.lit(1)).alias("n"))
+    return started.join(targets, "target").groupBy("cs", "ct").agg(F.sum("n").alias("n"))
+
+
 def community_summary(members: DataFrame, edges: DataFrame, top: int = 5) -> DataFrame:
     """``community``, ``size``, ``touching``, ``internal``, ``cohesion``, ``top_nodes`` (best tiers first, then by id).
 
@@ -166,7 +180,7 @@ def community_summary(members: DataFrame, edges: DataFrame, top: int = 5) -> Dat
     ids = members.select("id", "community").filter(F.col("community").isNotNull())
     s = ids.select(F.col("id").alias("source"), F.col("community").alias("cs"))
     t = ids.select(F.col("id").alias("target"), F.col("community").alias("ct"))
-    both = edges.filter("type <> 'contains'").join(s, "source").join(t, "target").groupBy("cs", "ct").agg(F.count(F.lit(1)).alias("n"))
+    both = community_pairs(edges, s, t)
     per = both.select(F.explode(F.when(F.col("cs") == F.col("ct"), F.array(F.struct(F.col("cs").alias("c"), F.col("n").alias("t"), F.col("n").alias("i")))).otherwise(
         F.array(F.struct(F.col("cs").alias("c"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("i")), F.struct(F.col("ct").alias("c"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("i"))))).alias("x"))
     sums = per.groupBy(F.col("x.c").alias("community")).agg(F.sum("x.t").alias("touching"), F.sum("x.i").alias("internal"))
@@ -180,3 +194,30 @@ def community_summary(members: DataFrame, edges: DataFrame, top: int = 5) -> Dat
     zero = {"touching": 0, "internal": 0}
     out = sizes.join(sums, "community", "left").join(names, "community", "left").na.fill(zero)
     return out.select("community", "size", "touching", "internal", F.round(F.when(F.col("touching") > 0, F.col("internal") / F.col("touching")).otherwise(0.0), 6).alias("cohesion"), "top_nodes")
+
+
+def top_in_groups(rows: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each group, with ``rank`` from 1: ranked within bounded parts first, so that no group meets in one task."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(64))
+    first = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))).filter(F.col("rank") <= most)
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= most).drop("_part")
+
+
+def entry_nodes(nodes: DataFrame, calls: DataFrame, most: int = 20) -> DataFrame:
+    """Where each repository's execution begins: ``repo_hash``, ``id``, ``reason``, ``rank``, at most ``most`` a repository.
+
+    Top-level nodes of files that are named like an entry come first
+    (``entry-file``: gods, then by line); a repository without any has its
+    gods and highs that nothing calls (``no-callers``: gods, then by path).
+    ``nodes`` has ``id``, ``repo_hash``, ``kind``, ``parent_id``,
+    ``hierarchy_level``, ``file_path``, ``line_start``; ``calls`` the executable
+    edges' ``target``. Ties go by id. Nodes without a repository have no entry.
+    """
+    level = F.lower(F.trim("hierarchy_level"))
+    top = nodes.filter("kind <> 'module' and parent_id is null and repo_hash is not null").withColumn("_god", F.coalesce(level == "god", F.lit(False)))
+    named = top.filter(F.lower("file_path").rlike(r"(?:main|index|server|app)\."))
+    by_name = top_in_groups(named.select("repo_hash", "id", "_god", "line_start"), "repo_hash", [F.desc("_god"), F.asc_nulls_first("line_start"), F.asc("id")], most)
+    rest = top.filter(level.isin("god", "high")).join(named.select("repo_hash").distinct(), "repo_hash", "left_anti").join(calls.select(F.col("target").alias("id")).distinct(), "id", "left_anti")
+    by_calls = top_in_groups(rest.select("repo_hash", "id", "_god", "file_path"), "repo_hash", [F.desc("_god"), F.asc_nulls_first("file_path"), F.asc("id")], most)
+    out = [x.select("repo_hash", "id", F.lit(reason).alias("reason"), "rank") for x, reason in ((by_name, "entry-file"), (by_calls, "no-callers"))]
+    return out[0].unionByName(out[1])

@@ -1,8 +1,8 @@
 """Traversals over typed edges as frontier joins.
 
 Each level joins the frontier with the edges, keeps what is new and cuts the
-lineage on shared storage. A frontier of at most ``SMALL_FRONTIER`` ids is
-broadcast, a larger one is shuffled. Edges that end at unknown ids are followed
+lineage on shared storage. A frontier of at most ``SMALL_FRONTIER`` ids, counted
+before, is broadcast; a larger one is shuffled, with hot ids split. Edges that end at unknown ids are followed
 like all others; payloads are joined only at the end, by the caller.
 """
 
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.operators.balance import LoadPlan, balanced_join, load_plans
 from codeloom.plans.lineage import cut, cut_round
 
 SMALL_FRONTIER = 50_000
@@ -49,34 +50,80 @@ def directed(edges: DataFrame, reverse: bool = False) -> DataFrame:
     return edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
 
 
-def bfs(links: DataFrame, seeds: DataFrame, max_depth: int, until: str | None = None, most_nodes: int | None = None) -> DataFrame:
-    """Breadth-first search: ``id``, ``depth`` (0 for seeds), ``parent`` (the least one of the level above).
+def bfs(links: DataFrame, seeds: DataFrame, max_depth: int, until: str | None = None, most_nodes: int | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """Breadth-first search: ``within``, ``id``, ``depth`` (0 for seeds), ``parent`` (the least one of the level above).
 
-    ``links`` has ``src`` and ``dst``, ``seeds`` has ``id``. Stops at
-    ``max_depth``, when nothing is new, once ``until`` is reached, or before a
-    level that begins with ``most_nodes`` visited. Null ids are no nodes; no
-    seeds or no links give the seeds alone.
+    ``links`` has ``src`` and ``dst``, ``seeds`` has ``id`` and the columns of
+    ``within``, each combination of which is a search of its own. Stops at
+    ``max_depth``, when nothing is new, once ``until`` is reached; a search with
+    ``most_nodes`` visited begins no other level. Null ids are no nodes; no
+    seeds or no links give the seeds alone. A small frontier is broadcast
+    against the links as they are read; a large one joins with its hot ids
+    split over several tasks.
     """
-    step = cut(links.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
-    frontier = cut(seeds.filter(F.col("id").isNotNull()).select("id").distinct())
-    visited = frontier.select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
-    total = frontier.count()
+    step = links.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    keys = [*within, "id"]
+    frontier = cut_round(seeds.filter(F.col("id").isNotNull()).select(*keys).distinct())
+    visited = frontier.select(*keys, F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     for depth in range(1, max_depth + 1):
+        if most_nodes is not None:
+            full = visited.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= most_nodes)
+            frontier = frontier.join(full, list(within), "left_anti") if within else frontier.filter(F.lit(full.isEmpty()))
         n = frontier.count()
-        if not n or most_nodes is not None and total >= most_nodes:
+        if not n:
             break
         side = frontier.withColumnRenamed("id", "src")
-        near = step.join(F.broadcast(side) if n <= SMALL_FRONTIER else side, "src")
-        found = near.groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
-        new = cut(found.join(visited.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent"))
+        if n <= SMALL_FRONTIER:
+            near = step.join(F.broadcast(side), "src")
+        else:
+            near = balanced_join(step, side, "src", load_plans(step, ["src"])["src"])
+        found = near.groupBy(*within, F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        new = cut_round(found.join(visited.select(*keys), keys, "left_anti").select(*keys, F.lit(depth).alias("depth"), "parent"))
         visited = visited.unionByName(new)
-        frontier = new.select("id")
-        total += new.count()
+        frontier = new.select(*keys)
         if until is not None and not new.filter(F.col("id") == until).isEmpty():
             break
     return visited
 
 
+def walked_edges(edges: DataFrame, visited: DataFrame, max_depth: int, reverse: bool = False, within: Sequence[str] = ()) -> DataFrame:
+    """The edges that a search went along, also to ids that it had seen: ``within``, ``source``, ``target``, ``type``.
+
+    ``visited`` comes from `bfs` over the same edges; every id above
+    ``max_depth`` was left by all its edges.
+    """
+    end = "target" if reverse else "source"
+    left = visited.filter(F.col("depth") < max_depth).select(*within, F.col("id").alias(end)).distinct()
+    return edges.join(left, end).select(*within, "source", "target", "type")
+
+
+def call_chain(edges: DataFrame, roots: DataFrame, known: DataFrame, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Callers and callees of the roots, and the edges between: nodes (``id``, ``depth``, ``direction``) and edges.
+
+    Each node once a direction, at its least depth; ids that ``known`` (``id``)
+    doesn't have are no nodes, but their edges stay.
+    """
+    calls, nodes, ways = executable(edges), [], []
+    for direction, reverse in (("caller", True), ("callee", False)):
+        found = bfs(directed(calls, reverse), roots, max_depth)
+        ways.append(walked_edges(calls, found, max_depth, reverse))
+        nodes.append(found.filter("depth > 0").select("id", "depth", F.lit(direction).alias("direction")))
+    return nodes[0].unionByName(nodes[1]).join(known.select("id"), "id", "left_semi"), ways[0].unionByName(ways[1]).distinct()
+
+
+def execution_flow(edges: DataFrame, entries: DataFrame, max_depth: int = 5, most_nodes: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """What runs from each repository's entries: nodes (``repo_hash``, ``id``, ``depth``, ``parent``) and edges.
+
+    ``entries`` has ``repo_hash`` and ``id``. A repository's flow begins no
+    other level once it has ``most_nodes`` nodes.
+    """
+    calls = executable(edges)
+    found = bfs(directed(calls), entries, max_depth, most_nodes=most_nodes, within=["repo_hash"])
+    deepest = found.groupBy("repo_hash").agg(F.max("depth").alias("_deepest"), F.count(F.lit(1)).alias("_n"))
+    stopped = found.join(deepest, "repo_hash").filter((F.col("_n") < most_nodes) | (F.col("depth") < F.col("_deepest"))).select("repo_hash", "id", "depth")
+    return found, walked_edges(calls, stopped, max_depth, within=["repo_hash"]).distinct()
+
+
 def shortest_path(links: DataFrame, start: str, goal: str, max_depth: int = 20) -> DataFrame:
     """The nodes of one shortest path: ``seq``, ``id``. Empty if there is none, one row if both ends are one.
 
@@ -95,22 +142,24 @@ def shortest_path(links: DataFrame, start: str, goal: str, max_depth: int = 20)
     return spark.createDataFrame(list(enumerate(reversed(path))), "seq int, id string")
 
 
-def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges whose both ends are among ``ids``."""
+def induced(edges: DataFrame, ids: DataFrame, loads: LoadPlan | None = None) -> DataFrame:
+    """Edges whose both ends are among ``ids``; ``loads`` is the load of ``target``, by which hot targets are split."""
     s, t = ids.select(F.col("id").alias("source")), ids.select(F.col("id").alias("target"))
-    return edges.join(s, "source", "left_semi").join(t, "target", "left_semi")
+    started = edges.join(s, "source", "left_semi")
+    return balanced_join(started, t, "target", loads, "left_semi") if loads else started.join(t, "target", "left_semi")
 
 
-def dependency_tree(edges: DataFrame, seeds: DataFrame, known: DataFrame, max_depth: int = 3, budget: int = 200) -> DataFrame:
-    """What the seeds depend on by all edges but ``contains``: ``id``, ``depth``, ``parent``, within a budget of nodes.
+def dependency_tree(edges: DataFrame, seeds: DataFrame, known: DataFrame, max_depth: int = 3, budget: int = 200, reverse: bool = False) -> DataFrame:
+    """What the seeds depend on, or with ``reverse`` what depends on them: ``id``, ``depth``, ``parent``, ``truncated``.
 
-    Nodes count against the budget by depth and id; ids without a node are
-    left out, and so is what only they lead to.
+    All edges but ``contains`` count. Nodes count against the budget by depth
+    and id; ids without a node are left out, and so is what only they lead to.
+    ``truncated`` says on every row that the budget is used up.
     """
     real = known.select(F.col("id").alias("dst"))
-    links = directed(edges.filter("type <> 'contains'")).join(real, "dst", "left_semi")
-    tree = bfs(links, seeds, max_depth, most_nodes=budget + seeds.count()).filter("depth > 0")
-    return tree.orderBy("depth", "id").limit(budget)
+    links = directed(edges.filter("type <> 'contains'"), reverse).join(real, "dst", "left_semi")
+    tree = cut(bfs(links, seeds, max_depth).filter("depth > 0").orderBy("depth", "id").limit(budget))
+    return tree.select("id", "depth", "parent", F.lit(tree.count() >= budget).alias("truncated"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.sources.store import publish, published
+from codeloom.sources.tables import current_rows
+
 K1, B = 1.2, 0.75
 # Words that a search leaves out.
 STOP_WORDS = "a an and are does for from how in is me of show the to what where which who".split()
@@ -14,7 +17,7 @@ def query_terms(query: str) -> list[str]:
     """The terms of a search: tokens cut at dots and hyphens, without single characters and stop words; else the whole text."""
     import re
 
-    text = " ".join(query.replace('"', " ").replace("'", " ").split())
+    text = " ".join(query.replace('"', "").replace("'", "").split())
     tokens = [p for t in re.findall(r"[\w$.\-]+", text) for p in re.split(r"[.\-]", t)]
     terms = [t.lower() for t in tokens if len(t) > 1 and t.lower() not in STOP_WORDS]
     return list(dict.fromkeys(terms)) or [text.lower()]
@@ -53,6 +56,46 @@ def _quoted(term: str) -> str:
     return re.escape(term)
 
 
+def text_terms(text: Column) -> Column:
+    """The distinct words of a query's text, without single characters and stop words."""
+    return F.array_distinct(F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS)))
+
+
+def bm25_many(index: DataFrame, queries: DataFrame, limit: int = 50) -> DataFrame:
+    """The best nodes for each of many searches: ``query_id``, ``node_id``, ``rank`` (lower is better), at most ``limit`` a query.
+
+    ``index`` comes from `postings`, ``queries`` has ``query_id`` and ``term``,
+    each pair once; a term stands for all words that begin with it. Words meet
+    terms by equality of their prefixes, once for each distinct word, and only
+    the words that are asked for meet the postings. Queries without a hit have
+    no row.
+    """
+    documents = index.select("node_id", "doc_len").distinct().agg(F.count(F.lit(1)).alias("_docs"), F.avg("doc_len").alias("_mean"))
+    terms = queries.select("term").distinct().select(F.col("term").alias("q"))
+    prefixes = index.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("q"))
+    found = index.join(prefixes.join(terms, "q"), "term").groupBy("q", "node_id", "doc_len").agg(F.sum("tf").alias("tf"))
+    spread = found.groupBy("q").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((F.col("_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("_mean")))
+    scored = found.join(spread, "q").crossJoin(F.broadcast(documents)).select("q", "node_id", score.alias("s"))  # documents is one row
+    ranked = queries.select("query_id", F.col("term").alias("q")).join(scored, "q").groupBy("query_id", "node_id").agg(F.round(-F.sum("s"), 6).alias("rank"))
+    order = Window.partitionBy("query_id").orderBy("rank", "node_id")
+    return ranked.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).drop("_n")  # limited in each task before rows meet
+
+
+def store_index(index: DataFrame, folder: str, name: str = "postings") -> str:
+    """Writes postings as a new version, ordered by term, so that a prefix reads few row groups; readers keep the old one till then."""
+    return publish(index.repartitionByRange("term").sortWithinPartitions("term"), folder, name)
+
+
+def stored_postings(spark: SparkSession, folder: str, terms: list[str], name: str = "postings") -> DataFrame:
+    """The stored postings of words that begin with one of ``terms``: ranges of terms that the scan can skip by."""
+    hit = F.lit(False)
+    for t in terms:
+        hit = hit | ((F.col("term") >= t) & (F.col("term") < t + "\U0010ffff"))
+    return published(spark, folder, name).filter(hit)
+
+
 def like_search(nodes: DataFrame, pattern: str, fields: list[str], limit: int = 50) -> DataFrame:
     """Fallback: nodes with ``pattern`` in any field, case aside; ``%`` and ``_`` stay wild cards. The first by id."""
     hit = None
@@ -66,7 +109,7 @@ def clean_doc(doc: Column) -> Column:
     """Documentation without comment marks and blank lines at its ends."""
     text = F.regexp_replace(doc, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"^\s*/\*+|\*+/\s*$", "")
-    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:\*+|#+|//+)[ \t]?", "")
+    text = F.regexp_replace(text, r"(?m)^[ \t]*(?:\*+|#+)[ \t]?", "")
     return F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 
@@ -82,3 +125,23 @@ def wiki_pages(nodes: DataFrame) -> DataFrame:
         F.col("id").alias("path"), F.col("name").alias("title"), F.trim(F.split("doc", "\n")[0]).alias("summary"),
         F.concat(F.lit("# "), F.coalesce("name", F.lit("")), F.lit("\n\n"), F.col("doc")).alias("content"),
     )
+
+
+def markdown_pages(files: DataFrame) -> DataFrame:
+    """Markdown texts as wiki pages: ``path`` (the base name), ``title`` (without ``.md``), ``content``, ``updated_at``.
+
+    ``files`` has ``page_path``, ``text`` and ``updated_at``. Rows without a
+    path give no page; a null text is an empty one.
+    """
+    base = F.regexp_extract("page_path", r"([^/\\\\]*)$", 1)
+    return files.filter("page_path is not null").select(base.alias("path"), F.regexp_replace(base, r"\.md$", "").alias("title"), F.coalesce("text", F.lit("")).alias("content"), "updated_at")
+
+
+def newest_pages(pages: DataFrame) -> DataFrame:
+    """Pages upserted in order of time, one for each ``path``: the newest, of equal times the greatest title and content."""
+    return current_rows(pages, ["path"], ["title", "content"], "updated_at")
+
+
+def without_pages(pages: DataFrame, gone: DataFrame) -> DataFrame:
+    """Pages whose ``path`` isn't among those of ``gone``."""
+    return pages.join(gone.select("path").distinct(), "path", "left_anti")

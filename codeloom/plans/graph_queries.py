@@ -12,10 +12,10 @@ from codeloom.operators import analytics as A
 from codeloom.operators import graph as G
 from codeloom.operators import linking as L
 from codeloom.operators import search as Q
-from codeloom.operators.balance import load_plans
+from codeloom.operators.balance import balanced_join, load_plans
 from codeloom.operators.hierarchy import hierarchy
 from codeloom.sources import store as S
-from codeloom.sources.tables import current_rows, graph_edges, graph_nodes, table
+from codeloom.sources.tables import current_rows, graph_edges, graph_nodes, stored_links, table
 
 SEARCH = "the lattice cache of beacon-route"
 SCOPES, EXCLUDES = ["*/src/**", "*/packages/*/src/**"], ["**/*.php"]
@@ -61,17 +61,17 @@ def _events(nodes: DataFrame) -> DataFrame:
 
 @query(f"with {_N}, {_DEGREE} select * from deg")
 def degree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.degrees(graph_edges(spark, sf_dir))
+    return A.degrees(graph_edges(spark, sf_dir, []))
 
 
 @query(f"with {_N}, {_DEGREE}, {_TIER} select * from tier")
 def hierarchy_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.tiers(A.degrees(graph_edges(spark, sf_dir)))
+    return A.tiers(A.degrees(graph_edges(spark, sf_dir, [])))
 
 
 @query(f"with {_N}, {_DEGREE}, {_TIER} select n.id, n.name, n.kind, n.repo_hash, tier.degree from tier join n using (id) where tier = 'god'")
 def god_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gods = A.tiers(A.degrees(graph_edges(spark, sf_dir))).filter("tier = 'god'").select("id", "degree")
+    gods = A.tiers(A.degrees(graph_edges(spark, sf_dir, []))).filter("tier = 'god'").select("id", "degree")
     return graph_nodes(spark, sf_dir, ["name", "kind", "repo_hash"]).join(gods, "id")
 
 
@@ -95,7 +95,7 @@ select c.*, coalesce(n_edges, 0) as n_edges from c left join x on c.repo_hash is
 def repo_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph_nodes(spark, sf_dir, ["file_path", "repo_hash"])
     counts = nodes.groupBy("repo_hash").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_distinct("file_path").alias("n_files"))
-    out = graph_edges(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("id").alias("source"), F.col("repo_hash").alias("_r")), "source")
+    out = graph_edges(spark, sf_dir, []).groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(nodes.select(F.col("id").alias("source"), F.col("repo_hash").alias("_r")), "source")
     edges = out.groupBy("_r").agg(F.sum("n").alias("n_edges"))
     return counts.join(edges, F.col("repo_hash").eqNullSafe(F.col("_r")), "left").select("repo_hash", "n_nodes", "n_files", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
@@ -117,10 +117,15 @@ def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("repo_hash", "file_path").distinct().withColumn("area", A.area(A.below_repo(F.col("file_path"))))
 
 
+def _target_loads(spark: SparkSession, sf_dir: str):
+    """The load of the stored edges' targets, one of which holds a tenth of them."""
+    return load_plans(table(spark, sf_dir, "edges"), ["target"])["target"]
+
+
 def _file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = graph_nodes(spark, sf_dir, ["file_path"]).select("id", "file_path").filter("file_path is not null")
     areas = _areas(spark, sf_dir).select(F.concat_ws(":", F.coalesce("repo_hash", F.lit("")), "area").alias("area"), "file_path")
-    return A.file_pair_weights(graph_edges(spark, sf_dir), files, areas)
+    return A.file_pair_weights(graph_edges(spark, sf_dir), files, areas, _target_loads(spark, sf_dir))
 
 
 _WEIGHT = "case e.type " + " ".join(f"when '{k}' then {v}" for k, v in A.TYPE_WEIGHTS.items()) + " else 1.0 end"
@@ -159,7 +164,7 @@ top as (select community, string_agg(id, ',' order by k) as top_nodes from r whe
 select c.community, c.size, coalesce(touching, 0) as touching, coalesce(internal, 0) as internal, round(case when touching > 0 then internal / touching else 0.0 end, 6) as cohesion, top_nodes
 from (select community, count(*) as size from m group by community) c left join s using (community) left join top using (community)""")
 def community_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.community_summary(_area_members(spark, sf_dir), graph_edges(spark, sf_dir))
+    return A.community_summary(_area_members(spark, sf_dir), graph_edges(spark, sf_dir, []))
 
 
 @query(f"""with {_N}, {_MEMBERS} select least(s.community, t.community) as a, greatest(s.community, t.community) as b, count(*) as n_edges
@@ -167,8 +172,8 @@ from e join m s on e.source = s.id join m t on e.target = t.id where type <> 'co
 def cross_community_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _area_members(spark, sf_dir)
     s, t = m.select(F.col("id").alias("source"), F.col("community").alias("cs")), m.select(F.col("id").alias("target"), F.col("community").alias("ct"))
-    both = graph_edges(spark, sf_dir).filter("type <> 'contains'").join(s, "source").join(t, "target").filter("cs <> ct")
-    return both.groupBy(F.least("cs", "ct").alias("a"), F.greatest("cs", "ct").alias("b")).agg(F.count(F.lit(1)).alias("n_edges"))
+    both = A.community_pairs(graph_edges(spark, sf_dir, []), s, t).filter("cs <> ct")
+    return both.groupBy(F.least("cs", "ct").alias("a"), F.greatest("cs", "ct").alias("b")).agg(F.sum("n").alias("n_edges"))
 
 
 # Filters.
@@ -190,7 +195,7 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_N}, a as (select id from n where {_SCOPE} or starts_with(file_path, '<')) select source, target, type from e where source in (select id from a) and target in (select id from a)")
 def scoped_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = graph_nodes(spark, sf_dir, ["file_path"]).filter(in_scope(F.col("file_path"), SCOPES, EXCLUDES, allow_virtual=True))
-    return G.induced(graph_edges(spark, sf_dir, []), ids).select("source", "target", "type")
+    return G.induced(graph_edges(spark, sf_dir, []), ids, _target_loads(spark, sf_dir)).select("source", "target", "type")
 
 
 @query(f"with {_N} select source, target, count(*) as n_edges, round(sum(weight), 4) as sum_weight from e where type <> 'contains' group by source, target")
@@ -222,28 +227,28 @@ best as (select id, min(depth) as depth from r group by id)"""
 
 @query(_reach("select distinct src, dst from sym", 2) + " select id, depth from best")
 def bfs_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bfs(G.symmetrised(graph_edges(spark, sf_dir, [])), _events(graph_nodes(spark, sf_dir, ["kind"])), 2).select("id", "depth")
+    return G.bfs(G.symmetrised(stored_links(spark, sf_dir)), _events(graph_nodes(spark, sf_dir, ["kind"])), 2).select("id", "depth")
 
 
 @query(_reach("select distinct src, dst from sym where type <> 'contains'", 2, "select id from n where kind = 'interface_declaration'") + " select id, depth from best")
 def focus_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = G.symmetrised(graph_edges(spark, sf_dir, []).filter("type <> 'contains'"))
+    links = G.symmetrised(stored_links(spark, sf_dir).filter("type <> 'contains'"))
     return G.bfs(links, graph_nodes(spark, sf_dir, ["kind"]).filter("kind = 'interface_declaration'"), 2).select("id", "depth")
 
 
 @query(_reach("select distinct source as src, target as dst from e where type <> 'contains'", 4) + " select id, depth from best")
 def directed_path_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bfs(G.directed(graph_edges(spark, sf_dir, []).filter("type <> 'contains'")), _events(graph_nodes(spark, sf_dir, ["kind"])), 4).select("id", "depth")
+    return G.bfs(G.directed(stored_links(spark, sf_dir).filter("type <> 'contains'")), _events(graph_nodes(spark, sf_dir, ["kind"])), 4).select("id", "depth")
 
 
 @query(_reach(f"select distinct target as src, source as dst from e where type in {_EXEC}", 3) + " select id, depth from best where depth > 0")
 def callers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bfs(G.directed(G.executable(graph_edges(spark, sf_dir, [])), reverse=True), _events(graph_nodes(spark, sf_dir, ["kind"])), 3).filter("depth > 0").select("id", "depth")
+    return G.bfs(G.directed(G.executable(stored_links(spark, sf_dir)), reverse=True), _events(graph_nodes(spark, sf_dir, ["kind"])), 3).filter("depth > 0").select("id", "depth")
 
 
 @query(_reach(f"select distinct source as src, target as dst from e where type in {_EXEC}", 3) + " select id, depth from best where depth > 0")
 def callees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bfs(G.directed(G.executable(graph_edges(spark, sf_dir, []))), _events(graph_nodes(spark, sf_dir, ["kind"])), 3).filter("depth > 0").select("id", "depth")
+    return G.bfs(G.directed(G.executable(stored_links(spark, sf_dir))), _events(graph_nodes(spark, sf_dir, ["kind"])), 3).filter("depth > 0").select("id", "depth")
 
 
 _ENTRY = f"""select id from n where kind not in ('module', 'export_statement', 'event') and parent_id is null and lower(trim(hierarchy_level)) in ('god', 'high')
@@ -253,7 +258,7 @@ and not exists (select 1 from e where e.target = n.id and e.type in {_EXEC})"""
 def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph_nodes(spark, sf_dir, ["kind", "parent_id", "hierarchy_level", "name", "file_path"])
     top = nodes.filter("kind not in ('module', 'export_statement', 'event') and parent_id is null").filter(F.lower(F.trim("hierarchy_level")).isin("god", "high"))
-    called = G.executable(graph_edges(spark, sf_dir, [])).select(F.col("target").alias("id"))
+    called = G.executable(stored_links(spark, sf_dir)).select(F.col("target").alias("id")).distinct()
     return top.join(called, "id", "left_anti")
 
 
@@ -262,21 +267,124 @@ def entry_no_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _entries(spark, sf_dir).select("id", "name", "file_path")
 
 
-@query(
-    _reach(f"select distinct source as src, target as dst from e where type in {_EXEC}", 5, _ENTRY)
-    + " select b.id, b.depth, (select min(p.id) from links join best p on links.src = p.id where links.dst = b.id and p.depth = b.depth - 1) as parent from best b"
-)
+_CALLS = f"calls as (select distinct source as src, target as dst, type from e where type in {_EXEC})"
+_TOP = """top as (select *, coalesce(lower(trim(hierarchy_level)) = 'god', false) as god from n where kind <> 'module' and parent_id is null and repo_hash is not null),
+named as (select * from top where regexp_matches(lower(file_path), '(main|index|server|app)\\.')),
+rest as (select * from top where lower(trim(hierarchy_level)) in ('god', 'high') and repo_hash not in (select repo_hash from named) and id not in (select dst from calls where dst is not null)),
+entries as (select repo_hash, id, 'entry-file' as reason, row_number() over (partition by repo_hash order by god desc, line_start nulls first, id) as rank from named
+ union all select repo_hash, id, 'no-callers', row_number() over (partition by repo_hash order by god desc, file_path nulls first, id) from rest),
+entry as (select * from entries where rank <= 20)"""
+_FLOW = f"""with recursive {_N}, {_CALLS}, {_TOP},
+r as (select repo_hash, id, 0 as depth from entry union select r.repo_hash, calls.dst, r.depth + 1 from r join calls on calls.src = r.id where r.depth < 5 and calls.dst is not null),
+best as (select repo_hash, id, min(depth) as depth from r group by all),
+sizes as (select repo_hash, depth, sum(c) over (partition by repo_hash order by depth) as upto from (select repo_hash, depth, count(*) as c from best group by all)),
+flow as (select b.* from best b where b.depth = 0 or (select upto from sizes s where s.repo_hash = b.repo_hash and s.depth = b.depth - 1) < 2000),
+left_by as (select f.* from flow f where f.depth < 5 and (select upto from sizes s where s.repo_hash = f.repo_hash and s.depth = f.depth) < 2000)"""
+_ALLOWED = lambda id: f"{id} in (select id from n where {_SCOPE} or starts_with(file_path, '<'))"
+
+
+def _entry_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf_dir, ["repo_hash", "kind", "parent_id", "hierarchy_level", "file_path", "line_start"])
+    return A.entry_nodes(nodes, G.executable(stored_links(spark, sf_dir)))
+
+
+@query(f"with {_N}, {_CALLS}, {_TOP} select repo_hash, id, reason, rank from entry")
+def entry_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entry_nodes(spark, sf_dir)
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return G.execution_flow(stored_links(spark, sf_dir), _entry_nodes(spark, sf_dir).select("repo_hash", "id"))
+
+
+@query(_FLOW + """ select f.repo_hash, f.id, f.depth, (select min(p.id) from calls join flow p on calls.src = p.id where calls.dst = f.id and p.repo_hash = f.repo_hash and p.depth = f.depth - 1) as parent
+from flow f where f.id in (select id from n)""")
 def execution_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.bfs(G.directed(G.executable(graph_edges(spark, sf_dir, []))), _entries(spark, sf_dir), 5)
+    """What runs from the entries of each repository, by least depth; ids without a node are left out."""
+    return _flow(spark, sf_dir)[0].join(graph_nodes(spark, sf_dir, []).select("id"), "id", "left_semi").select("repo_hash", "id", "depth", "parent")
+
+
+@query(_FLOW + " select distinct l.repo_hash, c.src as source, c.dst as target, c.type from left_by l join calls c on c.src = l.id")
+def execution_flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flow(spark, sf_dir)[1]
+
+
+@query(_FLOW + f""", kept as (select f.repo_hash, f.id from flow f where {_ALLOWED("f.id")})
+select distinct l.repo_hash, c.src as source, c.dst as target, c.type from left_by l join calls c on c.src = l.id
+where (l.repo_hash, c.src) in (select (repo_hash, id) from kept) and (l.repo_hash, c.dst) in (select (repo_hash, id) from kept)""")
+def execution_flow_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow's edges between nodes of its own that are in scope."""
+    nodes, edges = _flow(spark, sf_dir)
+    ids = graph_nodes(spark, sf_dir, ["file_path"]).filter(in_scope(F.col("file_path"), SCOPES, EXCLUDES, allow_virtual=True)).select("id")
+    kept = nodes.join(ids, "id", "left_semi").select("repo_hash", "id")
+    for end in ("source", "target"):
+        edges = edges.join(kept.withColumnRenamed("id", end), ["repo_hash", end], "left_semi")
+    return edges.select("repo_hash", "source", "target", "type")
+
+
+_CHAIN = f"""with recursive {_N}, {_CALLS}, roots as (select id from n where kind = 'event'),
+up as (select id, 0 as depth from roots union select calls.src, up.depth + 1 from up join calls on calls.dst = up.id where up.depth < 3 and calls.src is not null),
+down as (select id, 0 as depth from roots union select calls.dst, down.depth + 1 from down join calls on calls.src = down.id where down.depth < 3 and calls.dst is not null),
+chain as (select id, min(depth) as depth, 'caller' as direction from up group by id union all select id, min(depth), 'callee' from down group by id),
+ways as (select c.* from calls c join chain on c.dst = chain.id and direction = 'caller' and depth < 3 where c.src is not null
+ union select c.* from calls c join chain on c.src = chain.id and direction = 'callee' and depth < 3 where c.dst is not null)"""
+
+
+def _chain(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes = graph_nodes(spark, sf_dir, ["kind"])
+    links = stored_links(spark, sf_dir).filter("source is not null and target is not null")
+    return G.call_chain(links, _events(nodes).select("id"), nodes)
+
+
+@query(_CHAIN + " select id, depth, direction from chain where depth > 0 and id in (select id from n)")
+def call_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark, sf_dir)[0]
+
+
+@query(_CHAIN + " select src as source, dst as target, type from ways")
+def call_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chain(spark, sf_dir)[1].select("source", "target", "type")
+
+
+@query(_CHAIN + f""", kept as (select id from chain where {_ALLOWED("id")})
+select src as source, dst as target, type from ways where src in (select id from kept) and dst in (select id from kept)""")
+def call_chain_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain's edges between roots, callers and callees in scope."""
+    nodes, edges = _chain(spark, sf_dir)
+    all_nodes = graph_nodes(spark, sf_dir, ["kind", "file_path"])
+    ids = all_nodes.filter(in_scope(F.col("file_path"), SCOPES, EXCLUDES, allow_virtual=True)).select("id", "kind")
+    kept = ids.select("id").join(nodes.select("id").distinct(), "id", "left_semi").union(_events(ids).select("id")).distinct()
+    return G.induced(edges, kept).select("source", "target", "type")
+
+
+@query(f"""with {_N}, d as (select id, name, kind, file_path from n where name ilike '%cache%' and kind not in ('module', 'event'))
+select d.id, d.name, d.file_path, e.source, e.type, e.weight, len(e.call_sites) as n_sites, e.call_sites[1].line as first_line from d join e on e.target = d.id where e.type in ('calls', 'constructor')""")
+def call_sites_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the declarations whose name has a text in it, with their sites; not limited."""
+    named = graph_nodes(spark, sf_dir, ["name", "kind", "file_path"]).filter(F.col("name").ilike("%cache%") & ~F.col("kind").isin("module", "event"))
+    calls = table(spark, sf_dir, "edges").filter("type in ('calls', 'constructor')").join(named.select(F.col("id").alias("target")), "target", "left_semi")
+    now = current_rows(calls, ["source", "target", "type"], ["weight", "call_sites"])
+    return now.join(named.select(F.col("id").alias("target"), "name", "file_path"), "target").select(
+        F.col("target").alias("id"), "name", "file_path", "source", "type", "weight", F.size("call_sites").cast("bigint").alias("n_sites"), F.col("call_sites")[0]["line"].alias("first_line")
+    )
 
 
 @query(
     _reach("select distinct source as src, target as dst from e where type <> 'contains' and target in (select id from n)", 3)
-    + " select id, depth, (select min(p.id) from links join best p on links.src = p.id where links.dst = b.id and p.depth = b.depth - 1) as parent from best b where depth > 0 order by depth, id limit 200"
+    + ", t as (select id, depth, (select min(p.id) from links join best p on links.src = p.id where links.dst = b.id and p.depth = b.depth - 1) as parent from best b where depth > 0 order by depth, id limit 200) select *, (select count(*) from t) >= 200 as truncated from t"
 )
 def dependency_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = graph_nodes(spark, sf_dir, ["kind"])
-    return G.dependency_tree(graph_edges(spark, sf_dir, []), _events(nodes), nodes)
+    return G.dependency_tree(stored_links(spark, sf_dir), _events(nodes), nodes)
+
+
+@query(
+    _reach("select distinct target as src, source as dst from e where type <> 'contains' and source in (select id from n)", 2)
+    + ", t as (select id, depth, (select min(p.id) from links join best p on links.src = p.id where links.dst = b.id and p.depth = b.depth - 1) as parent from best b where depth > 0 order by depth, id limit 200) select *, (select count(*) from t) >= 200 as truncated from t"
+)
+def dependent_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf_dir, ["kind"])
+    return G.dependency_tree(stored_links(spark, sf_dir), _events(nodes), nodes, max_depth=2, reverse=True)
 
 
 @query()
@@ -284,7 +392,7 @@ def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the least event to the greatest class, in any direction."""
     nodes = graph_nodes(spark, sf_dir, ["kind"])
     ends = nodes.agg(F.min(F.when(F.col("kind") == "event", F.col("id"))).alias("a"), F.max(F.when(F.col("kind") == "class_declaration", F.col("id"))).alias("b")).first()
-    return G.shortest_path(G.symmetrised(graph_edges(spark, sf_dir, [])), ends["a"] or "", ends["b"] or "")
+    return G.shortest_path(G.symmetrised(stored_links(spark, sf_dir)), ends["a"] or "", ends["b"] or "")
 
 
 @query(f"""with recursive {_N}, l as (select source as a, target as b from e where type in ('extends', 'implements') union select target, source from e where type in ('extends', 'implements')),
@@ -317,19 +425,41 @@ def hooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""with {_N}, a as (select id from n where {_SCOPE} or starts_with(file_path, '<'))
+select n.id, n.name, sym.dst as other, sym.type, sym.outgoing from n join sym on n.id = sym.src where n.kind = 'event' and n.name ilike '%a%' and sym.dst in (select id from a)""")
+def hook_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges at named events whose other end is in scope; an event without any has no row."""
+    nodes = graph_nodes(spark, sf_dir, ["kind", "name", "file_path"])
+    events = _events(nodes).filter(F.col("name").ilike("%a%")).select(F.col("id").alias("src"), "name")
+    ids = nodes.filter(in_scope(F.col("file_path"), SCOPES, EXCLUDES, allow_virtual=True)).select(F.col("id").alias("dst"))
+    return G.symmetrised(graph_edges(spark, sf_dir, [])).join(events, "src").join(ids, "dst", "left_semi").select(F.col("src").alias("id"), "name", F.col("dst").alias("other"), "type", "outgoing")
+
+
 # Linking.
 
 
 def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every call site of every stored edge row, exact repeats once."""
     edges = table(spark, sf_dir, "edges").select("source", "target", "type", F.explode("call_sites").alias("s"))
-    return edges.select("source", "target", "type", "s.file", "s.line", "s.receiver", "s.callback").distinct()
+    return edges.select("source", "target", "type", "s.file", "s.line", "s.column", "s.receiver", "s.callback", "s.priority").distinct()
 
 
-_SITES = "sites as (select distinct source, target, type, s.file as file, s.line as line, s.receiver as receiver, s.callback as callback from (select source, target, type, unnest(call_sites) as s from edges))"
+def _named_sites(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
+    """Call sites with the name of their target: ``file_path``, ``source``, ``receiver``, ``name``, each once; hot targets are split."""
+    sites = _sites(spark, sf_dir).filter(F.col("type").isin(*types)).select("target", F.col("file").alias("file_path"), "source", "receiver").distinct()
+    nodes = graph_nodes(spark, sf_dir, ["name"]).select(F.col("id").alias("target"), "name")
+    return balanced_join(sites, nodes, "target", _target_loads(spark, sf_dir)).select("file_path", "source", "receiver", "name", F.col("target").alias("meant")).distinct()
 
 
-@query(f"with {_SITES} select source, target, type, count(*)::double as weight, min(line) as first_line, max(line) as last_line, count(distinct file) as n_files from sites group by all")
+def _declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "name", "kind", "file_path", "parent_id"])
+    return live.filter("not coalesce(is_deleted, false) and kind not in ('module', 'export_statement')")
+
+
+_SITES = "sites as (select distinct source, target, type, s.file as file, s.line as line, s.\"column\" as col, s.receiver as receiver, s.callback as callback, s.priority as priority from (select source, target, type, unnest(call_sites) as s from edges))"
+
+
+@query(f"with {_SITES}, m as (select source, target, type, count(*)::double as weight, min(line) as first_line, max(line) as last_line, count(distinct file) as n_files, (list(struct_pack(f := file, l := line, c := col) order by file nulls first, line nulls first, col nulls first))[1] as s1 from sites group by all) select * exclude (s1), s1.f as site_file, s1.l as site_line, s1.c as site_column from m")
 def call_site_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.merged_call_sites(_sites(spark, sf_dir))
 
@@ -348,20 +478,42 @@ l as (select file_path, name, min(id) as local from d group by all), u as (selec
 select a.file_path, a.name, coalesce(local, only_one) as id, case when local is not null then 'same file' when only_one is not null then 'unique name' else 'unresolved' end as how
 from a left join l on a.file_path is not distinct from l.file_path and a.name = l.name left join u on a.name = u.name""")
 def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graph_nodes(spark, sf_dir, ["name"]).select(F.col("id").alias("target"), "name")
-    asked = _sites(spark, sf_dir).filter("type in ('calls', 'constructor')").select(F.col("file").alias("file_path"), "target").join(nodes, "target")
-    live = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "name", "kind", "file_path"]).filter("not coalesce(is_deleted, false) and kind not in ('module', 'export_statement')")
-    return L.resolve_names(asked, live)
+    return L.resolve_names(_named_sites(spark, sf_dir, ["calls", "constructor"]), _declarations(spark, sf_dir))
 
 
-@query(f"""with {_N}, {_SITES}, own as (select distinct s.source, n.name from sites s join n on n.id = s.target where s.receiver in ('this', '$this', 'self')),
-m as (select parent_id, name, min(id) as id from live where parent_id is not null group by all)
-select own.source, own.name, m.id from own join live p on own.source = p.id join m on m.parent_id = p.parent_id and m.name = own.name""")
+_DECL = "d as (select id, name, file_path, parent_id from live where kind not in ('module', 'export_statement') and name is not null)"
+_ASKED = """asked as (select distinct s.file as file_path, s.source, s.receiver, n.name from sites s join n on n.id = s.target where s.type in ('calls', 'constructor') and n.name is not null)"""
+_MEMBERS_SQL = r"""own as (select *, regexp_replace(coalesce(receiver, ''), '^(?:this\.|self\.|\$this->|\$)', '') as r from asked),
+owner as (select own.source, own.receiver, own.name, case when r in ('this', 'self') then p.parent_id else f.id end as owner from own left join d p on p.id = own.source left join (select name, min(id) as id from d group by name) f on f.name = own.r where r <> ''),
+member as (select distinct o.source, o.receiver, o.name, m.id from owner o join (select parent_id, name, min(id) as id from d where parent_id is not null group by all) m on m.parent_id = o.owner and m.name = o.name)"""
+
+
+@query(f"with {_N}, {_SITES}, {_DECL}, {_ASKED}, {_MEMBERS_SQL} select * from member")
 def receiver_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graph_nodes(spark, sf_dir, ["name"]).select(F.col("id").alias("target"), "name")
-    sites = _sites(spark, sf_dir).filter("receiver in ('this', '$this', 'self')").join(nodes, "target")
-    live = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "name", "parent_id"]).filter("not coalesce(is_deleted, false)")
-    return L.receiver_members(sites, live)
+    return L.receiver_members(_named_sites(spark, sf_dir, ["calls", "constructor"]), _declarations(spark, sf_dir))
+
+
+@query(f"""with {_N}, {_SITES}, {_DECL}, {_ASKED}, {_MEMBERS_SQL},
+brought as (select s.file as file_path, n.name, min(n.id) as id from sites s join n on n.id = s.target where s.type = 'import' and n.name is not null group by all),
+l as (select file_path, name, min(id) as id from d group by all), u as (select name, min(id) as id from d group by name having count(*) = 1)
+select a.file_path, a.source, a.receiver, a.name, coalesce(l.id, b.id, m.id, u.id) as id,
+case when l.id is not null then 'same file' when b.id is not null then 'import' when m.id is not null then 'receiver' when u.id is not null then 'unique name' else 'unresolved' end as how
+from asked a left join l on l.file_path = a.file_path and l.name = a.name left join brought b on b.file_path = a.file_path and b.name = a.name
+left join member m on m.source = a.source and m.receiver = a.receiver and m.name = a.name left join u on u.name = a.name""")
+def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four steps of the link step: same file, imported name, member of the receiver's owner, only one of that name."""
+    brought = _named_sites(spark, sf_dir, ["import"]).filter("name is not null").select("file_path", "name", F.col("meant").alias("id"))
+    return L.resolve_references(_named_sites(spark, sf_dir, ["calls", "constructor"]), _declarations(spark, sf_dir), brought)
+
+
+@query(f"""with {_N}, {_SITES}, {_DECL}, h as (select target as source, file, callback, priority from sites where type = 'listens_hook' and callback is not null),
+l as (select file_path, name, min(id) as id from d group by all), f as (select name, min(id) as id from d group by name),
+x as (select h.source, coalesce(l.id, f.id) as target, h.priority from h left join l on l.file_path = h.file and l.name = h.callback left join f on f.name = h.callback)
+select source, target, count(*)::double as weight, min(priority) as priority from x where target is not null group by all""")
+def event_dispatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an event calls: the callbacks that its listeners name."""
+    sites = _sites(spark, sf_dir).filter("type = 'listens_hook'").withColumnRenamed("file", "file_path")
+    return L.dispatches(sites, _declarations(spark, sf_dir))
 
 
 @query(f"""with {_N}, k as (select *, kind in ('function_definition', 'method_declaration', 'method_definition', 'function_declaration') and name is not null as many from live)
@@ -380,9 +532,10 @@ def exports_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"with {_N} select f.target as event, f.source as firing, l.source as listening from e f join e l on f.target = l.target where f.type = 'fires_hook' and l.type = 'listens_hook'")
+@query(f"""with {_N}, c as (select target as event, count(distinct source) filter (type = 'fires_hook') as n_firing, count(distinct source) filter (type = 'listens_hook') as n_listening from e where type in ('fires_hook', 'listens_hook') group by target)
+select *, n_firing * n_listening as n_links from c""")
 def event_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.event_links(graph_edges(spark, sf_dir, []))
+    return L.event_links(stored_links(spark, sf_dir).filter("source is not null"))
 
 
 @query(f"""with {_N}, d as (select distinct regexp_extract(file_path, '^([^/]+(?:/(?:packages/[^/]+|src|lib|app))?)/', 1) as dir from live where file_path is not null)
@@ -457,13 +610,28 @@ def run_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("d.code", "d.severity").agg(F.count(F.lit(1)).alias("n_diagnostics"), F.count_distinct("d.filePath").alias("n_files"), F.count("d.range").alias("n_placed"))
 
 
-@query(f"""with {_N}, {_FILES}, l as (select live.id, live.line_start as a, live.line_end as b, regexp_split_to_array(cf.source_text, '\\r\\n|\\n|\\r') as l from live left join cf on live.file_path = cf.file_path),
-s as (select id, case when a >= 1 then array_to_string(list_slice(l, a, b), chr(10)) end as s from l)
-select id, md5(s) as source_md5 from s""")
+_SOURCE = """src as (select live.id, json_extract_string(case when json_valid(metadata_json) then metadata_json end, '$.source_code') as kept, offset_start as o, offset_end as p, line_start as a, line_end as b,
+regexp_replace(cf.source_text, '([\\x{10000}-\\x{10FFFF}])', '\\1' || chr(65535), 'g') as u, regexp_split_to_array(cf.source_text, '\\r?\\n') as l from live left join cf on live.file_path = cf.file_path),
+source as (select id, case when coalesce(kept, '') <> '' then kept when o >= 0 and p >= o then replace(substring(u, o + 1, p - o), chr(65535), '') when a >= 1 then array_to_string(list_slice(l, a, b), chr(10)) end as s from src)"""
+
+
+@query(f"with {_N}, {_FILES}, {_SOURCE} select id, md5(s) as source_md5 from source")
 def source_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = current_rows(table(spark, sf_dir, "source_files"), ["file_path"], ["source_text"], "loaded_at")
-    nodes = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", "file_path", "line_start", "line_end"]).filter("not coalesce(is_deleted, false)")
-    return S.source_slice(nodes, files).select("id", F.md5(F.col("source").cast("binary")).alias("source_md5"))
+    return S.source_slice(_placed_nodes(spark, sf_dir), _texts(spark, sf_dir)).select("id", F.md5(F.col("source").cast("binary")).alias("source_md5"))
+
+
+def _placed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["file_path", "line_start", "line_end", "offset_start", "offset_end", "metadata_json"]
+    nodes = current_rows(table(spark, sf_dir, "nodes"), ["id"], ["is_deleted", *columns]).filter("not coalesce(is_deleted, false)")
+    return nodes.select("id", *columns[:-1], F.try_variant_get(F.try_parse_json("metadata_json"), "$.source_code", "string").alias("inline"))
+
+
+def _texts(spark: SparkSession, sf_dir: str, files: DataFrame | None = None) -> DataFrame:
+    """The current texts, of ``files`` alone where given. The newest rows are found by their times, so older texts aren't moved."""
+    rows = table(spark, sf_dir, "source_files").select("file_path", "loaded_at", "source_text")
+    if files is not None:
+        rows = rows.join(files.select("file_path").distinct(), "file_path", "left_semi")
+    return current_rows(rows, ["file_path"], ["source_text"], "loaded_at")
 
 
 REGISTRY = Registry()
@@ -514,26 +682,39 @@ def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = Q.query_terms(SEARCH)
 
 
-@query(f"""with {_N}, {_DOCS},
-t as (select id as node_id, regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(file_path, ''), coalesce(domain, ''), coalesce(summary, ''), coalesce(doc, ''))), '([\\p{{L}}\\p{{N}}]+)', 1) as w from d),
+_WORDS = """t as (select id as node_id, regexp_extract_all(lower(concat_ws(' ', coalesce(name, ''), coalesce(file_path, ''), coalesce(domain, ''), coalesce(summary, ''), coalesce(doc, ''))), '([\\p{L}\\p{N}]+)', 1) as w from d),
 l as (select node_id, len(w) as doc_len, w from t where len(w) > 0), st as (select count(*) as n_docs, avg(doc_len) as av from l),
-p as (select node_id, doc_len, unnest(w) as term from l),
-h as (select node_id, doc_len, q, count(*) as tf from p, (select unnest({_TERMS!r}) as q) where starts_with(term, q) group by all),
-f as (select q, count(*) as df from h group by q)
-select node_id, round(-sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * ({Q.K1} + 1) / (tf + {Q.K1} * (1 - {Q.B} + {Q.B} * doc_len / av))), 6) as rank
-from h join f using (q), st group by node_id order by rank, node_id limit 50""")
+p as (select node_id, doc_len, unnest(w) as term from l)"""
+_SCORE = f"greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * ({Q.K1} + 1) / (tf + {Q.K1} * (1 - {Q.B} + {Q.B} * doc_len / av))"
+_BM25_CTE = f"""{_WORDS}, h as (select node_id, doc_len, q, count(*) as tf from p, (select unnest({_TERMS!r}) as q) where starts_with(term, q) group by all),
+f as (select q, count(*) as df from h group by q), hits as (select node_id, round(-sum({_SCORE}), 6) as rank from h join f using (q), st group by node_id order by rank, node_id limit 50)"""
+
+
+@query(f"with {_N}, {_DOCS}, {_BM25_CTE} select node_id, rank from hits")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = Q.postings(_documented(spark, sf_dir), _FIELDS)
     stats = index.select("node_id", "doc_len").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("doc_len").alias("a")).first()
     return Q.bm25(index, stats["n"], stats["a"] or 1.0, _TERMS)
 
 
-@query(f"with {_N}, {_DOCS} select id, 0.0::double as rank from d where coalesce(name ilike '%lattice%', false) or coalesce(file_path ilike '%lattice%', false) or coalesce(doc ilike '%lattice%', false) order by id limit 50")
+@query(f"""with {_N}, {_DOCS}, {_WORDS},
+asked as (select doc_id as query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(regexp_extract(coalesce(text, ''), '([^\\r\\n]*[\\p{{L}}\\p{{N}}][^\\r\\n]*)', 1)), '([\\p{{L}}\\p{{N}}]+)', 1), lambda w: length(w) > 1 and not list_contains({Q.STOP_WORDS!r}, w)))) as q from documents where doc_id % 100 = 0),
+h as (select node_id, doc_len, q, count(*) as tf from p join (select distinct q from asked) on starts_with(term, q) group by all), f as (select q, count(*) as df from h group by q),
+r as (select query_id, node_id, round(-sum({_SCORE}), 6) as rank from h join f using (q) join asked using (q), st group by query_id, node_id)
+select query_id, node_id, rank from (select *, row_number() over (partition by query_id order by rank, node_id) as k from r) where k <= 50""")
+def bm25_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100 as a query, by its first line with a word, against all nodes."""
+    line = F.regexp_extract(F.coalesce("text", F.lit("")), r"([^\r\n]*[\p{L}\p{N}][^\r\n]*)", 1)
+    queries = table(spark, sf_dir, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(Q.text_terms(line)).alias("term"))
+    return Q.bm25_many(Q.postings(_documented(spark, sf_dir), _FIELDS), queries)
+
+
+@query(f"with {_N}, {_DOCS} select id, 0.0::double as rank from n where coalesce(name ilike '%lattice%', false) or coalesce(file_path ilike '%lattice%', false) or coalesce(metadata_json ilike '%lattice%', false) order by id limit 50")
 def like_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.like_search(_documented(spark, sf_dir), "lattice", ["name", "file_path", "doc"])
+    return Q.like_search(graph_nodes(spark, sf_dir, ["name", "file_path", "metadata_json"]), "lattice", ["name", "file_path", "metadata_json"])
 
 
-_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\r\n?', chr(10), 'g'), '^\s*/\*+|\*+/\s*$', '', 'g'), '(?m)^[ \t]*(?:\*+|#+|//+)[ \t]?', '', 'g'), '^\s+|\s+$', '', 'g')"""
+_CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(doc, '\r\n?', chr(10), 'g'), '^\s*/\*+|\*+/\s*$', '', 'g'), '(?m)^[ \t]*(?:\*+|#+)[ \t]?', '', 'g'), '^\s+|\s+$', '', 'g')"""
 
 
 @query(f"""with {_N}, {_DOCS}, c as (select id as path, name as title, trim({_CLEAN}) as doc from d where kind not in ('module', 'export_statement', 'event'))
@@ -611,14 +792,55 @@ def metadata_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy(F.coalesce(depth, F.lit(-1)).alias("depth"), (F.coalesce(F.length(doc), F.lit(0)) > 0).alias("has_doc")).agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-@query()
+@query(f"with {_N}, {_FILES}, {_SOURCE}, {_DOCS}, {_BM25_CTE}, best as (select node_id as id, rank from hits order by rank, node_id limit 8) select best.id, n.name, best.rank, substring(source.s, 1, 3000) as context from best join n using (id) join source using (id)")
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight best hits of a search, each with the first 3,000 characters of its source."""
-    hits = bm25_search(spark, sf_dir).orderBy("rank", "node_id").limit(8)
-    nodes = graph_nodes(spark, sf_dir, ["name", "file_path", "line_start", "line_end"]).join(F.broadcast(hits.select(F.col("node_id").alias("id"), "rank")), "id")  # eight rows
-    files = current_rows(table(spark, sf_dir, "source_files").join(F.broadcast(nodes.select("file_path").distinct()), "file_path", "left_semi"), ["file_path"], ["source_text"], "loaded_at")
-    context = S.source_slice(nodes, files).select("id", F.substring("source", 1, 3000).alias("context"))
-    return nodes.select("id", "name", "rank").join(context, "id")
+    hits = bm25_search(spark, sf_dir).orderBy("rank", "node_id").limit(8).select(F.col("node_id").alias("id"), "rank")
+    return _with_context(spark, sf_dir, hits)
+
+
+def _with_context(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """Nodes of ``ids`` with their name and the first 3,000 characters of their source; only their files' texts are moved."""
+    nodes = _placed_nodes(spark, sf_dir).join(ids.select("id"), "id", "left_semi")
+    context = S.source_slice(nodes, _texts(spark, sf_dir, nodes)).select("id", F.substring("source", 1, 3000).alias("context"))
+    return ids.join(graph_nodes(spark, sf_dir, ["name"]).select("id", "name"), "id").join(context, "id")
+
+
+@query(f"with {_N}, {_FILES}, {_SOURCE}, g as (select n.id, n.name from n join live using (id) where n.kind = 'interface_declaration') select g.id, g.name, substring(source.s, 1, 3000) as context from g join source using (id)")
+def node_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given nodes, here all interfaces, with the begin of their source."""
+    return _with_context(spark, sf_dir, graph_nodes(spark, sf_dir, ["kind"]).filter("kind = 'interface_declaration'").select("id"))
+
+
+_PAGES = r"""pages as (select regexp_extract(page_path, '([^/\\\\]*)$', 1) as path, coalesce(text, '') as content, updated_at from documents where page_path is not null)"""
+
+
+@query(f"""with {_PAGES} select path, regexp_replace(path, '\\.md$', '') as title, length(arg_max(content, {{'t': updated_at, 'c': content}})) as n_chars, max(updated_at) as updated_at from pages group by path""")
+def wiki_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown documents upserted as pages: the newest of each path."""
+    pages = Q.newest_pages(Q.markdown_pages(table(spark, sf_dir, "documents")))
+    return pages.select("path", "title", F.length("content").cast("bigint").alias("n_chars"), "updated_at")
+
+
+@query(f"""with {_N}, {_DEGREE}, {_TIER}, {_MEMBERS} select (select count(*) from n) as n_nodes, (select count(*) from e) as n_edges, (select count(*) from tier join n using (id) where tier = 'god') as n_gods, (select count(distinct community) from m) as n_communities""")
+def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of a report, one row."""
+    nodes, gods, members = graph_nodes(spark, sf_dir, []), god_nodes(spark, sf_dir), _area_members(spark, sf_dir)
+    edges = graph_edges(spark, sf_dir, [])
+    parts = [nodes.agg(F.count(F.lit(1)).alias("n_nodes")), edges.agg(F.count(F.lit(1)).alias("n_edges")), gods.agg(F.count(F.lit(1)).alias("n_gods")), members.agg(F.count_distinct("community").alias("n_communities"))]
+    return parts[0].crossJoin(parts[1]).crossJoin(parts[2]).crossJoin(parts[3])  # one row each
+
+
+@query(f"with {_N} select source, target, type from e where type = 'contains'")
+def edges_before_relink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.without_links(graph_nodes(spark, sf_dir, ["kind"]), graph_edges(spark, sf_dir, []))[1].select("source", "target", "type")
+
+
+@query(f"with {_N} select id, name, kind, file_path from n where id in (select source from e where type = 'implements')")
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by id, here those that implement something; unknown ids give no row."""
+    ids = stored_links(spark, sf_dir).filter("type = 'implements'").select(F.col("source").alias("id")).distinct()
+    return graph_nodes(spark, sf_dir, ["name", "kind", "file_path"]).join(ids, "id", "left_semi")
 
 
 @query(f"""with {_N}, g as (select id, count(*) as d from (select source as id from e where type <> 'contains' union all select target from e where type <> 'contains') group by id),

@@ -100,16 +100,39 @@ def snapshot(repos: DataFrame, update: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if f"_{c}" in joined.columns else F.col(c) for c in repos.columns])
 
 
-def source_slice(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """The source lines of every node: ``id``, ``source``; null without a file or lines.
+_SECOND_UNIT = "\uffff"  # no character; stands behind those that take two UTF-16 units, so that characters count as units do
+
 
-    ``files`` has ``file_path`` and ``source_text``. Nodes are cut out of their
-    file where the file lies; texts are joined once for each file.
+def source_slice(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """The source of every node: ``id``, ``source``; null without a text or a place in it.
+
+    ``nodes`` has ``id``, ``file_path``, ``line_start``, ``line_end``,
+    ``offset_start``, ``offset_end`` and ``inline``, ``files`` has ``file_path``
+    and ``source_text``. Text kept with the node comes first, then the part of
+    the file between the offsets, which count UTF-16 units, then its lines. The
+    places of a file's nodes are brought to it, so that every text is moved and
+    cut up once. Offsets that end before they start or are negative don't count.
     """
-    spans = nodes.select("id", "file_path", "line_start", "line_end")
-    lines = F.split("source_text", r"\r\n|\n|\r")
-    cut = F.when(F.col("line_start") >= 1, F.array_join(F.slice(lines, F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n"))
-    return spans.join(files.select("file_path", "source_text"), "file_path", "left").select("id", cut.alias("source"))
+    kept = F.coalesce("inline", F.lit("")) != ""
+    spans = nodes.filter(~kept & F.col("file_path").isNotNull()).groupBy("file_path").agg(F.collect_list(F.struct("id", "line_start", "line_end", "offset_start", "offset_end")).alias("_spans"))
+    text = F.struct(F.regexp_replace("source_text", r"([\x{10000}-\x{10FFFF}])", "$1" + _SECOND_UNIT).alias("units"), F.split("source_text", r"\r?\n").alias("lines"))
+
+    def part(t: Column, x: Column) -> Column:
+        placed = (x["offset_start"] >= 0) & (x["offset_end"] >= x["offset_start"])
+        units = F.replace(F.substring(t["units"], x["offset_start"] + 1, x["offset_end"] - x["offset_start"]), F.lit(_SECOND_UNIT), F.lit(""))
+        lines = F.array_join(F.slice(t["lines"], x["line_start"], F.greatest(x["line_end"] - x["line_start"] + 1, F.lit(0))), "\n")
+        return F.struct(x["id"].alias("id"), F.when(placed, units).when(x["line_start"] >= 1, lines).alias("source"))
+
+    # The text is prepared and split once for a file: the outer transform binds both for all its nodes.
+    cut = F.flatten(F.transform(F.array(text), lambda t: F.transform(F.col("_spans"), lambda x: part(t, x))))
+    found = spans.join(files.filter("source_text is not null").select("file_path", "source_text"), "file_path").select(F.inline(cut))
+    own = nodes.select("id", F.when(kept, F.col("inline")).alias("_inline"))
+    return own.join(found, "id", "left").select("id", F.coalesce("_inline", "source").alias("source"))
+
+
+def without_links(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What stays before everything is linked again: nodes without events, and ``contains`` edges."""
+    return nodes.filter("kind is null or kind <> 'event'"), edges.filter("type = 'contains'")
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -27,6 +27,8 @@ def current_rows(df: DataFrame, keys: Sequence[str], columns: Sequence[str], at:
     order stays, so the result doesn't depend on the order of rows. Null keys
     form one key. An empty table gives an empty result.
     """
+    if not columns:  # a plain maximum, which needs no sort
+        return df.groupBy(*keys).agg(F.max(at).alias(at))
     kept = F.max(F.struct(F.col(at), *[F.col(c) for c in columns])).alias("_kept")
     best = df.groupBy(*keys).agg(kept)
     return best.select(*keys, *[F.col("_kept")[c].alias(c) for c in columns], F.col("_kept")[at].alias(at))
@@ -50,3 +52,12 @@ def graph_nodes(spark: SparkSession, sf_dir: str, columns: Sequence[str] = NODE_
 def graph_edges(spark: SparkSession, sf_dir: str, columns: Sequence[str] = ("weight",)) -> DataFrame:
     """Current edges, one row for each source, target and type, with ``columns``."""
     return current_rows(table(spark, sf_dir, "edges"), ["source", "target", "type"], list(columns))
+
+
+def stored_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source``, ``target`` and ``type`` of all stored edges, as they are read.
+
+    An edge is never deleted and its key never changes, so walks that meet every
+    id once need no current rows and no shuffle of all edges.
+    """
+    return table(spark, sf_dir, "edges").select("source", "target", "type")
