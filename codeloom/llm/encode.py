@@ -37,7 +37,7 @@ class Encoder:
         self.pairs: dict[int, int] = {}
         self.split = regex.compile(pattern).findall
         self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self._forget()
 
     def rank(self, a: int, b: int) -> int:
         """The id that a pair merges to, or -1; it is the merge's rank as well."""
@@ -97,10 +97,15 @@ class Encoder:
             out.append([s for s in symbol[start:start + len(w)] if s >= 0])
         return out
 
+    def _forget(self) -> None:
+        """The known words' ids, one after the other, and how many each has."""
+        self.sizes, self.values = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the number of ids of each."""
         if len(self.known) > MOST_WORDS:
-            self.known, self.ids = {}, []
+            self.known = {}
+            self._forget()
         known, fresh = self.known, []
         flat: list[int] = []
         counts = np.zeros(len(texts), np.int64)
@@ -114,10 +119,12 @@ class Encoder:
                         at = known[w] = len(known)
                         fresh.append(w)
                     flat.append(at)
-        self.ids.extend(self.merge([w.encode("utf-8") for w in fresh]))
-        sizes = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
+        if fresh:  # only the new words are flattened
+            new = self.merge([w.encode("utf-8") for w in fresh])
+            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, new), np.int64, len(new))))
+            self.values = np.concatenate((self.values, np.fromiter((x for w in new for x in w), np.int32)))
+        sizes, values = self.sizes, self.values
         begins = np.concatenate(([0], np.cumsum(sizes)))
-        values = np.fromiter((x for w in self.ids for x in w), np.int32, int(begins[-1]))
         used = np.asarray(flat, np.int64)
         length = sizes[used]
         ends = np.cumsum(length)

@@ -90,7 +90,7 @@ def mixture(counted: DataFrame, weights: DataFrame) -> DataFrame:
         *result, "goal", "max_repeats", whole.alias("whole"),
         F.when((rest > 1e-9) & (whole < F.col("max_repeats")), u / rest).alias("xi"),
     )
-    drawn = drawn.withColumn("bin", F.when(F.col("xi").isNotNull(), F.least(F.floor(F.col("xi") * (BINS / 2)), F.lit(BINS - 1))))
+    drawn = drawn.withColumn("bin", F.when(F.col("xi").isNotNull(), F.least(F.floor(F.col("xi") / (F.col("xi") + 1) * BINS), F.lit(BINS - 1))))
     drawn = cut(drawn)
     # The bin in which each source reaches its goal: from sums by bin, at most BINS rows a source.
     bins = drawn.groupBy("source", "bin").agg(F.sum(F.when(F.col("bin").isNotNull(), F.col("n_tokens")).otherwise(0)).alias("n"))

@@ -94,10 +94,15 @@ class Grammars:
                 places = np.flatnonzero(top)
                 top[places[(places - begin) & 1 == 1]] = False
             chosen = np.flatnonzero(top)
-            ids = np.sort(pair[chosen])
-            lone = np.concatenate(([True], ids[1:] != ids[:-1])) & np.concatenate((ids[:-1] != ids[1:], [True])) if len(ids) else np.zeros(0, bool)
-            if lone.any():  # a pair that its neighbours left but one place for makes no rule
-                chosen = chosen[~np.isin(pair[chosen], ids[lone])]
+            by_pair = np.argsort(pair[chosen], kind="stable")
+            ids = pair[chosen[by_pair]]
+            begins = np.concatenate(([True], ids[1:] != ids[:-1]))
+            lone = begins & np.concatenate((begins[1:], [True]))  # a pair that its neighbours left but one place for makes no rule
+            made = chosen[by_pair[begins & ~lone]]
+            if lone.any():
+                several = np.ones(len(chosen), bool)
+                several[by_pair[lone]] = False
+                chosen = chosen[several]
             if not len(chosen):
                 break
             second = chosen + 1
@@ -105,8 +110,6 @@ class Grammars:
             value[chosen] = value[chosen] * power(span[second]) + value[second]
             span[chosen] += span[second]
             symbol[chosen] = content[chosen]
-            _, one = np.unique(pair[chosen], return_index=True)
-            made = chosen[one]
             self.rules += np.bincount(owner[made], minlength=n)
             big = made[span[made] >= long_rule]
             used.append((owner[big], value[big], span[big]))
