@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +81,63 @@ def test_summary(spark):
     e = spark.createDataFrame([("a", "b", "calls", 1.0), ("b", "c", "calls", 1.0), ("c", "nobody", "calls", 1.0)], EDGES)
     got = {r["community"]: (r["size"], r["touching"], r["internal"], r["cohesion"], r["top_nodes"]) for r in A.community_summary(m, e).collect()}
     assert got == {"1": (2, 2, 1, 0.5, "b,a"), "2": (1, 1, 0, 0.0, "c")}
+
+
+def test_entries_by_name_then_by_callers(spark):
+    n = spark.createDataFrame(
+        [("1", "r", "function_declaration", None, "low", "r/main.ts", 9), ("2", "r", "class_declaration", None, " God ", "r/main.ts", 20), ("3", "r", "function_declaration", None, "god", "r/x.ts", 1), ("4", "r", "module", None, "god", "r/main.ts", 1), ("5", "r", "function_declaration", "2", "god", "r/main.ts", 1),
+         ("6", "q", "function_declaration", None, "high", "q/a.ts", 1), ("7", "q", "function_declaration", None, "god", "q/b.ts", 1), ("8", "q", "function_declaration", None, "god", "q/c.ts", 1), ("9", None, "function_declaration", None, "god", "q/c.ts", 1)],
+        "id string, repo_hash string, kind string, parent_id string, hierarchy_level string, file_path string, line_start int",
+    )
+    calls = spark.createDataFrame([("8",), (None,)], "target string")
+    assert sorted(map(tuple, A.entry_nodes(n, calls).collect())) == [("q", "6", "no-callers", 2), ("q", "7", "no-callers", 1), ("r", "1", "entry-file", 2), ("r", "2", "entry-file", 1)]
+    assert A.entry_nodes(n, calls, 1).count() == 2 and A.entry_nodes(n.limit(0), calls).count() == 0
+
+
+def sequential_modularity(weights, nodes):
+    """Louvain's first level, one node after the other, and the modularity of what it gives."""
+    near = {v: {} for v in nodes}
+    for (a, b), w in weights.items():
+        near[a][b] = near[a].get(b, 0) + w
+        near[b][a] = near[b].get(a, 0) + w
+    total = 2 * sum(weights.values())
+    degree = {v: sum(near[v].values()) for v in nodes}
+    own = {v: v for v in nodes}
+    size = dict(degree)
+    moved = True
+    while moved:
+        moved = False
+        for v in sorted(nodes):
+            size[own[v]] -= degree[v]
+            links = {}
+            for u, w in near[v].items():
+                links[own[u]] = links.get(own[u], 0) + w
+            best = max([own[v], *sorted(links)], key=lambda c: links.get(c, 0) - degree[v] * size[c] / total)
+            if links.get(best, 0) - degree[v] * size[best] / total <= links.get(own[v], 0) - degree[v] * size[own[v]] / total + 1e-12:
+                best = own[v]
+            moved |= best != own[v]
+            own[v] = best
+            size[best] += degree[v]
+    return modularity(weights, own)
+
+
+def modularity(weights, own):
+    total, inside, degree = sum(weights.values()), 0.0, {}
+    for (a, b), w in weights.items():
+        inside += w * (own[a] == own[b])
+        for v in (a, b):
+            degree[own[v]] = degree.get(own[v], 0) + w
+    return inside / total - sum((d / (2 * total)) ** 2 for d in degree.values())
+
+
+def test_modularity_is_that_of_a_sequential_run(spark):
+    rng = random.Random(5)
+    names = [f"v{g}{i}" for g in range(6) for i in range(8)]
+    weights = {}
+    for a in names:
+        for b in names:
+            if a < b and rng.random() < (0.5 if a[1] == b[1] else 0.04):
+                weights[a, b] = float(rng.randrange(1, 4))
+    found = A.communities(pairs(spark, [(a, b, w) for (a, b), w in weights.items()]), spark.createDataFrame([(v,) for v in names], "id string"))
+    own = {r["id"]: r["community"] for r in found.collect()}
+    assert modularity(weights, own) >= sequential_modularity(weights, names) - 0.01

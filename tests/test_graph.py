@@ -79,3 +79,36 @@ def test_empty(spark):
     seeds = spark.createDataFrame([("s",)], "id string")
     assert [r["id"] for r in G.bfs(G.directed(none), seeds, 3).collect()] == ["s"]
     assert G.bfs(G.directed(none), seeds.limit(0), 3).count() == 0 and G.components(G.directed(none)).count() == 0
+
+
+def test_walks_of_their_own_and_hot_frontiers(spark, monkeypatch):
+    monkeypatch.setattr(G, "SMALL_FRONTIER", 0)
+    links = G.directed(edges(spark, [("hub", f"x{i}") for i in range(30)] + [("a", "hub"), ("b", "c"), ("c", "hub")]))
+    seeds = spark.createDataFrame([("r1", "a"), ("r2", "b")], "repo_hash string, id string")
+    got = {(r["repo_hash"], r["id"]): r["depth"] for r in G.bfs(links, seeds, 9, within=["repo_hash"]).collect()}
+    assert len(got) == 32 + 33 and got["r1", "x3"] == 2 and got["r2", "x3"] == 3
+    few = {(r["repo_hash"], r["id"]) for r in G.bfs(links, seeds, 9, most_nodes=2, within=["repo_hash"]).collect()}
+    assert few == {("r1", "a"), ("r1", "hub"), ("r2", "b"), ("r2", "c")}
+
+
+def test_chain_and_flow_have_their_edges(spark):
+    e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "ghost"), ("z", "a")]).union(edges(spark, [("a", "part")], "contains"))
+    known = spark.createDataFrame([(x,) for x in "abcdez"], "id string")
+    nodes, ways = G.call_chain(e, known.filter("id = 'a'"), known, 2)
+    assert {tuple(r) for r in nodes.collect()} == {("z", 1, "caller"), ("b", 1, "callee"), ("c", 2, "callee")}
+    assert {(r["source"], r["target"]) for r in ways.collect()} == {("z", "a"), ("a", "b"), ("b", "c"), ("b", "ghost")}
+    entries = spark.createDataFrame([("r", "a")], "repo_hash string, id string")
+    found, ways = G.execution_flow(e, entries, 3)
+    assert {(r["id"], r["depth"]) for r in found.collect()} == {("a", 0), ("b", 1), ("c", 2), ("ghost", 2), ("d", 3)}
+    assert {(r["source"], r["target"]) for r in ways.collect()} == {("a", "b"), ("b", "c"), ("b", "ghost"), ("c", "d")}
+    found, ways = G.execution_flow(e, entries, 3, most_nodes=2)
+    assert {r["id"] for r in found.collect()} == {"a", "b"} and {(r["source"], r["target"]) for r in ways.collect()} == {("a", "b")}
+
+
+def test_tree_upwards_and_truncated(spark):
+    e = edges(spark, [("a", "s"), ("b", "s"), ("c", "b")])
+    known = spark.createDataFrame([(x,) for x in "abcs"], "id string")
+    seeds = known.filter("id = 's'")
+    got = {(r["id"], r["truncated"]) for r in G.dependency_tree(e, seeds, known, 3, 9, reverse=True).collect()}
+    assert got == {("a", False), ("b", False), ("c", False)}
+    assert {tuple(r)[3] for r in G.dependency_tree(e, seeds, known, 3, 3, reverse=True).collect()} == {True}

@@ -32,15 +32,45 @@ def test_resolve_names(spark):
 def test_receivers_overloads_events_prefixes(spark):
     d = spark.createDataFrame([("m1", "run", "C"), ("m2", "stop", "C"), ("m3", "stop", "D")], "id string, name string, parent_id string")
     s = spark.createDataFrame([("m1", "this", "stop"), ("m1", "$this->x", "stop"), ("m1", None, "run")], "source string, receiver string, name string")
-    assert rows(L.receiver_members(s, d)) == [("m1", "run", "m1"), ("m1", "stop", "m2")]
+    assert rows(L.receiver_members(s, d)) == [("m1", "this", "stop", "m2")]
     o = spark.createDataFrame([("1", "function_definition", "f", "a", 1, 0), ("2", "function_definition", "f", "a", 9, 0), ("3", "class_definition", "f", "a", 1, 0), ("4", None, "f", None, 1, 0)], "id string, kind string, file_path string, name string, line_start int, column_start int")
     assert sorted(r["id"] for r in L.overload_survivors(o).collect()) == ["2", "3", "4"]
     e = spark.createDataFrame([("a", "ev", "fires_hook"), ("b", "ev", "listens_hook"), ("c", "ev2", "listens_hook")], "source string, target string, type string")
-    assert rows(L.event_links(e)) == [("ev", "a", "b")]
+    assert rows(L.event_links(e)) == [("ev", 1, 1, 1), ("ev2", 0, 1, 0)]
     p = L.longest_prefix(spark.createDataFrame([("a/b/c.ts",), ("a/x.ts",), ("q.ts",)], "file_path string"), spark.createDataFrame([("a",), ("a/b",)], "dir string"))
     assert rows(p) == [("a/b/c.ts", "a/b"), ("a/x.ts", "a"), ("q.ts", None)]
 
 
+def test_four_steps_of_resolution(spark):
+    d = spark.createDataFrame(
+        [("f1", "f", "local", None), ("g1", "g", "local", None), ("C", "g", "Store", None), ("c1", "g", "get", "C"), ("D", "h", "Other", None), ("d1", "h", "get", "D"), ("m", "f", "caller", "D"), ("u", "h", "only", None), ("x1", "g", "brought", None), ("x2", "h", "brought", None)],
+        "id string, file_path string, name string, parent_id string",
+    )
+    r = spark.createDataFrame(
+        [("f", "m", None, "local"), ("f", "m", "$this->Store", "get"), ("f", "m", "this", "get"), ("f", "m", "nobody", "get"), ("f", "m", None, "only"), ("f", "m", None, "brought"), ("z", "m", None, "brought"), ("f", "m", None, None), ("f", "m", None, "local")],
+        "file_path string, source string, receiver string, name string",
+    )
+    i = spark.createDataFrame([("f", "brought", "x2"), ("f", "brought", "x9")], "file_path string, name string, id string")
+    got = rows(L.resolve_references(r, d, i).select("file_path", "receiver", "name", "id", "how"))
+    assert got == sorted([
+        ("f", None, "local", "f1", "same file"), ("f", "$this->Store", "get", "c1", "receiver"), ("f", "this", "get", "d1", "receiver"), ("f", "nobody", "get", None, "unresolved"),
+        ("f", None, "only", "u", "unique name"), ("f", None, "brought", "x2", "import"), ("z", None, "brought", None, "unresolved"),
+    ], key=str)
+    assert L.resolve_references(r.limit(0), d, i).count() == 0
+
+
+def test_imports_bring_symbols_or_modules(spark):
+    n = spark.createDataFrame([("m", "lib/a.ts", "a", "module"), ("s", "lib/a.ts", "Thing", "class_declaration"), ("b", "lib/b.ts", "b", "function_declaration")], "id string, file_path string, name string, kind string")
+    i = spark.createDataFrame([("f", "Thing", "lib/a.ts"), ("f", "Gone", "lib/a.ts"), ("f", None, "lib/b.ts"), ("f", "x", None), ("f", "y", "lib/c.ts")], "file_path string, name string, resolved string")
+    assert rows(L.imported_nodes(i, n)) == sorted([("f", "Thing", "lib/a.ts", "s", False), ("f", "Gone", "lib/a.ts", "m", True), ("f", "b", "lib/b.ts", "b", False), ("f", "y", "lib/c.ts", None, False)], key=str)
+
+
+def test_dispatches_prefer_the_same_file(spark):
+    d = spark.createDataFrame([("1", "f", "go"), ("2", "g", "go"), ("3", "g", "stop")], "id string, file_path string, name string")
+    s = spark.createDataFrame([("ev", "g", "go", 20), ("ev", "g", "go", 10), ("ev", "z", "go", 5), ("ev", "z", "gone", 1), ("ev", "g", None, 1), ("ew", "f", "stop", None)], "target string, file_path string, callback string, priority int")
+    assert rows(L.dispatches(s, d)) == [("ev", "1", 1.0, 5), ("ev", "2", 2.0, 10), ("ew", "3", 1.0, None)]
+
+
 @pytest.mark.parametrize("text,want", [('"where is" the Foo.bar-baz?', ["foo", "bar", "baz"]), ("is a", ["is a"]), ("x", ["x"]), ("", [""])])
 def test_query_terms(text, want):
     assert Q.query_terms(text) == want
@@ -57,12 +87,35 @@ def test_bm25_and_like_and_wiki(spark):
     assert set(pages) == {"1", "4"} and pages["1"]["summary"] == "Reads the lattice." and pages["4"]["content"] == "# py\n\none\ntwo"
 
 
+def test_searches_for_many_queries_and_stored_postings(spark, tmp_path):
+    n = spark.createDataFrame([(str(i), name, "d") for i, name in enumerate(["lattice cache", "lattices", "cache", "other thing", ""])], "id string, name string, d string")
+    index = Q.postings(n, ["name"])
+    queries = spark.createDataFrame([(1, "lattice"), (1, "cache"), (2, "lat"), (3, "none")], "query_id bigint, term string")
+    got = {(r["query_id"], r["node_id"]): r["rank"] for r in Q.bm25_many(index, queries).collect()}
+    assert set(got) == {(1, "0"), (1, "1"), (1, "2"), (2, "0"), (2, "1")}
+    one = {r["node_id"]: r["rank"] for r in Q.bm25(index, 4, 1.5, ["lattice", "cache"]).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == one
+    assert Q.bm25_many(index, queries, 1).filter("query_id = 1").count() == 1 and Q.bm25_many(index.limit(0), queries).count() == 0
+    folder = str(tmp_path / "index")
+    Q.store_index(index, folder)
+    assert {r["term"] for r in Q.stored_postings(spark, folder, ["lat"]).collect()} == {"lattice", "lattices"}
+    assert Q.stored_postings(spark, folder, []).count() == 0
+
+
+def test_wiki_table(spark):
+    d = lambda x: datetime(2024, 1, x)
+    docs = spark.createDataFrame([("r/wiki/a.md", "old", d(1)), ("q/a.md", "new", d(2)), ("b.txt", None, d(1)), (None, "x", d(1))], "page_path string, text string, updated_at timestamp_ntz")
+    pages = Q.newest_pages(Q.markdown_pages(docs))
+    assert rows(pages.select("path", "title", "content")) == [("a.md", "a", "new"), ("b.txt", "b.txt", "")]
+    assert rows(Q.without_pages(pages, pages.filter("path = 'a.md'")).select("path")) == [("b.txt",)]
+
+
 def test_globs_and_kinds(spark):
     df = spark.createDataFrame([("r/src/a/b.ts",), ("r/src/a.php",), ("<events>",), ("lib/a.ts",)], "p string")
     assert [r[0] for r in df.select(in_scope(F.col("p"), ["*/src/**"], ["**/*.php"], True)).collect()] == [True, False, True, False]
-    files = spark.createDataFrame([("a/log.txt",), ("keep/log.txt",), ("out/x",), ("about/x",), ("node/out",)], "p string")
-    got = [r[0] for r in files.select(ignored(F.col("p"), ["# c", "*.txt", "!keep/log.txt", "out/", ""])).collect()]
-    assert got == [True, False, True, False, False]
+    files = spark.createDataFrame([("a/log.txt",), ("keep/log.txt",), ("out/x",), ("about/x",), ("node/out",), ("x/keep/log.txt",), ("top/y",), ("x/top/y",)], "p string")
+    got = [r[0] for r in files.select(ignored(F.col("p"), ["# c", "*.txt", "!keep/log.txt", "out/", "", "/top/"])).collect()]
+    assert got == [True, False, True, False, False, False, True, False]
     k = spark.createDataFrame([("method_definition",), ("Interface_declaration",), (None,), ("type_alias_declaration",)], "k string")
     assert [r[0] for r in k.select(kind_class(F.col("k"))).collect()] == ["method", "interface", "other", "type"]
 
@@ -97,9 +150,15 @@ def test_store(spark, tmp_path):
 
 
 def test_source_slice(spark):
-    nodes = spark.createDataFrame([("1", "f", 2, 3), ("2", "f", None, 3), ("3", "none", 1, 1), ("4", "f", 3, 99)], "id string, file_path string, line_start int, line_end int")
-    files = spark.createDataFrame([("f", "a\r\nb\nc\rd")], "file_path string, source_text string")
-    assert rows(S.source_slice(nodes, files)) == [("1", "b\nc"), ("2", None), ("3", None), ("4", "c\nd")]
+    nodes = spark.createDataFrame(
+        [("1", "f", 2, 3, None, None, None), ("2", "f", None, 3, None, None, None), ("3", "none", 1, 1, 0, 2, None), ("4", "f", 3, 99, None, 4, ""), ("5", "none", 1, 1, 0, 1, "kept"), ("6", "g", 1, 1, 2, 5, None), ("7", "g", 1, 1, 5, 2, None), ("8", "g", 1, 1, 0, 1, None), ("9", None, 1, 1, 0, 1, None), ("10", "g", 1, 1, 3, 900, None)],
+        "id string, file_path string, line_start int, line_end int, offset_start int, offset_end int, inline string",
+    )
+    files = spark.createDataFrame([("f", "a\r\nb\nc\rd"), ("g", "\U0001f600ab\U0001f600c"), ("h", None)], "file_path string, source_text string")
+    got = dict(map(tuple, S.source_slice(nodes, files).collect()))
+    # Offsets count UTF-16 units: the sign at the begin takes two of them.
+    assert got == {"1": "b\nc\rd", "2": None, "3": None, "4": "c\rd", "5": "kept", "6": "ab\U0001f600", "7": "\U0001f600ab\U0001f600c", "8": "\U0001f600", "9": None, "10": "b\U0001f600c"}
+    assert S.source_slice(nodes, files.limit(0)).filter("source is not null").count() == 1 and S.source_slice(nodes.limit(0), files).count() == 0
 
 
 def test_scan_tree(spark, tmp_path):
