@@ -86,10 +86,13 @@ def segments(text: str | None) -> list[Segment]:
     out, at = [], 0
     for m in [*_LINES.finditer(text), None]:
         line, begin, at = text[at:m.start() if m else len(text)], at, m.end() if m else len(text)
-        if not line.strip() or _LOG.search(line) or _CODE_HINT.search(line) and _CODE.search(line):
+        if not line or line.isspace() or _LOG.match(line) or _CODE_HINT.search(line) and _CODE.search(line):
             continue
-        head = bool(_HEAD.search(line))
-        body = _BULLET.sub("", line.lstrip("# ") if head else line)
+        head = _HEAD.match(line) is not None
+        body = line.lstrip("# ") if head else line
+        bullet = _BULLET.match(body)
+        if bullet:
+            body = body[bullet.end():]
         if _INLINE_HINT.search(body):
             body = _INLINE.sub(lambda x: f" {x[1]} " if x[1] else " ", body)
         last = 0
@@ -234,18 +237,20 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed:
     size = 64
     epochs = max(epochs, -(-least_steps * size // max(1, len(fit))))
 
-    def pooled(rows):
-        n = counts[rows]
-        flat = np.concatenate([grams[bounds[r]:bounds[r] + c] for r, c in zip(rows, n)])
-        cut = np.concatenate(([0], np.cumsum(n)[:-1]))
-        return flat, n, np.add.reduceat(e[flat], cut, axis=0) / n[:, None]
+    small = grams.astype(np.uint16)  # BUCKETS fit, and small numbers sort fast
 
     for epoch in range(epochs):
         rng.shuffle(fit)
         step = rate * (1 - epoch / epochs)
+        # The epoch's features in the order of its sentences, and where each sentence's begin.
+        length = counts[fit]
+        begin = np.concatenate(([0], np.cumsum(length)))
+        every = small[np.arange(begin[-1]) - np.repeat(begin[:-1] - bounds[fit], length)]
         for i in range(0, len(fit), size):
             rows = fit[i:i + size]
-            flat, n, h = pooled(rows)
+            n, cut = length[i:i + size], begin[i:i + len(rows)] - begin[i]
+            flat = every[begin[i]:begin[i] + n.sum()]
+            h = np.add.reduceat(np.take(e, flat, axis=0), cut, axis=0) / n[:, None]
             z = h @ w + b
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
@@ -261,7 +266,7 @@ def _train(texts: list[str], labels: np.ndarray, epochs: int, rate: float, seed:
             order = np.argsort(flat, kind="stable")  # a bucket met several times moves by the sum
             once = flat[order]
             first = np.flatnonzero(np.concatenate(([True], once[1:] != once[:-1])))
-            moved = np.add.reduceat(np.repeat(back, n, axis=0)[order], first, axis=0)
+            moved = np.add.reduceat(np.take(back, np.repeat(np.arange(len(rows)), n)[order], axis=0), first, axis=0)
             e[once[first]] -= (step * len(rows) / 4) * moved
     table = (e @ w).astype(np.float32)
     seen = np.zeros(BUCKETS, bool)
