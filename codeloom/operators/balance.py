@@ -153,7 +153,8 @@ def balanced_totals(df: DataFrame, key: str, sums: Mapping[str, Column], plan: L
     summed = [T.StructField(n, T.LongType() if isinstance(placed.schema[n].dataType, T.IntegralType) else T.DoubleType()) for n in values]
     schema = T.StructType([*[placed.schema[k] for k in keys], T.StructField("n_rows", T.LongType()), *summed])
     few = placed.select(*keys, *[F.col(f.name).cast(f.dataType) for f in summed]).mapInArrow(partial(_pre_aggregated, keys=keys, sums=list(values)), schema)
-    merged = few.repartitionById(plan.tasks, F.col("__slot")).groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in values])
+    # Whether a key is split is aggregated, not grouped by, so that both parts below read one and the same shuffle.
+    merged = few.repartitionById(plan.tasks, F.col("__slot")).groupBy(*keys[:-1]).agg(F.max("__split").alias("__split"), F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in values])
     whole = merged.filter(~F.col("__split"))
     again = merged.filter("__split").groupBy(*within, "__key").agg(F.sum("n_rows").alias("n_rows"), *[F.sum(n).alias(n) for n in values])
     names = [F.col(n).alias(name) for n, name in zip(values, sums)]

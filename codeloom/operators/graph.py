@@ -65,27 +65,33 @@ def bfs(links: DataFrame, seeds: DataFrame, max_depth: int, until: str | None =
     keys = [*within, "id"]
     frontier = cut_round(seeds.filter(F.col("id").isNotNull()).select(*keys).distinct())
     visited = frontier.select(*keys, F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    n = total = frontier.count()
     for depth in range(1, max_depth + 1):
-        if most_nodes is not None:
+        if most_nodes is not None and total >= most_nodes:  # else none of the searches can have so many
             full = visited.groupBy(*within).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= most_nodes)
             frontier = frontier.join(full, list(within), "left_anti") if within else frontier.filter(F.lit(full.isEmpty()))
-        n = frontier.count()
+            n = frontier.count()
         if not n:
             break
-        side = frontier.withColumnRenamed("id", "src")
-        if n <= SMALL_FRONTIER:
-            near = step.join(F.broadcast(side), "src")
-        else:
-            near = balanced_join(step, side, "src", load_plans(step, ["src"])["src"])
+        near = _join_frontier(step, frontier.withColumnRenamed("id", "src"), "src", n)
         found = near.groupBy(*within, F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         new = cut_round(found.join(visited.select(*keys), keys, "left_anti").select(*keys, F.lit(depth).alias("depth"), "parent"))
         visited = visited.unionByName(new)
         frontier = new.select(*keys)
+        n = frontier.count()
+        total += n
         if until is not None and not new.filter(F.col("id") == until).isEmpty():
             break
     return visited
 
 
+def _join_frontier(links: DataFrame, frontier: DataFrame, key: str, rows: int) -> DataFrame:
+    """Links that begin (``key``) in a frontier of ``rows`` rows: broadcast if that is small, else with hot ids split."""
+    if rows <= SMALL_FRONTIER:
+        return links.join(F.broadcast(frontier), key)
+    return balanced_join(links, frontier, key, load_plans(links, [key])[key])
+
+
 def walked_edges(edges: DataFrame, visited: DataFrame, max_depth: int, reverse: bool = False, within: Sequence[str] = ()) -> DataFrame:
     """The edges that a search went along, also to ids that it had seen: ``within``, ``source``, ``target``, ``type``.
 
@@ -94,7 +100,7 @@ def walked_edges(edges: DataFrame, visited: DataFrame, max_depth: int, reverse:
     """
     end = "target" if reverse else "source"
     left = visited.filter(F.col("depth") < max_depth).select(*within, F.col("id").alias(end)).distinct()
-    return edges.join(left, end).select(*within, "source", "target", "type")
+    return _join_frontier(edges, left, end, left.count()).select(*within, "source", "target", "type")
 
 
 def call_chain(edges: DataFrame, roots: DataFrame, known: DataFrame, max_depth: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,7 @@ from codeloom.operators.hierarchy import hierarchy
 from codeloom.sources import store as S
 from codeloom.sources.tables import current_rows, graph_edges, graph_nodes, stored_links, table
 
+PLANNED_ROWS = 1_000_000  # stored edges from which on joins by target are planned by load; results are the same
 SEARCH = "the lattice cache of beacon-route"
 SCOPES, EXCLUDES = ["*/src/**", "*/packages/*/src/**"], ["**/*.php"]
 FILTER = ["Imports", "call"]
@@ -118,8 +119,9 @@ def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _target_loads(spark: SparkSession, sf_dir: str):
-    """The load of the stored edges' targets, one of which holds a tenth of them."""
-    return load_plans(table(spark, sf_dir, "edges"), ["target"])["target"]
+    """The load of the stored edges' targets, one of which holds a tenth of them; none for a table that few tasks hold."""
+    edges = table(spark, sf_dir, "edges")
+    return load_plans(edges, ["target"])["target"] if edges.count() >= PLANNED_ROWS else None
 
 
 def _file_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,7 +450,9 @@ def _named_sites(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFram
     """Call sites with the name of their target: ``file_path``, ``source``, ``receiver``, ``name``, each once; hot targets are split."""
     sites = _sites(spark, sf_dir).filter(F.col("type").isin(*types)).select("target", F.col("file").alias("file_path"), "source", "receiver").distinct()
     nodes = graph_nodes(spark, sf_dir, ["name"]).select(F.col("id").alias("target"), "name")
-    return balanced_join(sites, nodes, "target", _target_loads(spark, sf_dir)).select("file_path", "source", "receiver", "name", F.col("target").alias("meant")).distinct()
+    loads = _target_loads(spark, sf_dir)
+    named = balanced_join(sites, nodes, "target", loads) if loads else sites.join(nodes, "target")
+    return named.select("file_path", "source", "receiver", "name", F.col("target").alias("meant")).distinct()
 
 
 def _declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
