@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
