@@ -36,14 +36,14 @@ def judged_references(references: DataFrame, parents: DataFrame, plan: LoadPlan)
     """The references with ``reason``: missing, deleted, late, or null for a good one.
 
     ``references`` has ``missing_id`` (the id referred to) and ``referred_at``
-    beside any other columns, ``parents`` comes from `validity`. A null id is
-    no reference. A null time of a reference is never before its parent. Every
+    beside any other columns, ``parents`` comes from `validity`. A null id
+    refers to nothing and has no reason. A null time of a reference is never before its parent. Every
     reference row gives one row; repeats stay repeats. A column ``reason`` that
     the references have is replaced.
     """
     interval = parents.select("missing_id", F.lit(True).alias("__there"), F.col("gone").alias("__gone"), F.col("known_since").alias("__since"))
-    found = balanced_join(references.filter(F.col("missing_id").isNotNull()), interval, "missing_id", plan, "left")
-    reason = F.when(F.col("__there").isNull(), "missing").when(F.col("__gone"), "deleted").when(F.col("__since") > F.col("referred_at"), "late")
+    found = balanced_join(references, interval, "missing_id", plan, "left")
+    reason = F.when(F.col("missing_id").isNull(), None).when(F.col("__there").isNull(), "missing").when(F.col("__gone"), "deleted").when(F.col("__since") > F.col("referred_at"), "late")
     return found.withColumn("reason", reason).drop("__there", "__gone", "__since")
 
 

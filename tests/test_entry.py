@@ -44,9 +44,10 @@ def test_communities_cover_all_files_once(spark, con):
     assert len(ids) == len(set(ids)) and {r["community"] for r in rows} <= set(ids) and len(set(ids) & files) > 0.8 * len(files)
 
 
-def test_shortest_path_is_shortest(spark, con):
-    path = [r["id"] for r in E.queries()["shortest_path"](spark, DATA).orderBy("seq").collect()]
-    links = set(con.execute("select source, target from edges union select target, source from edges").fetchall())
+def test_shortest_path_is_shortest(spark):
+    data = "/root/testdata/sf0.01"  # the smallest tables have no path between its ends
+    path = [r["id"] for r in E.queries()["shortest_path"](spark, data).orderBy("seq").collect()]
+    links = set(duckdb.sql(f"with e as (select * from '{data}/edges.parquet') select source, target from e union select target, source from e").fetchall())
     near = {}
     for a, b in links:
         near.setdefault(a, set()).add(b)
